@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrolith.io import table
-from metrolith.llm import chat, mixing, packing, url_filter
+from metrolith.llm import chat, mixing, packing, simhash, url_filter
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")).orderBy("first_position", "doc_id").drop("first_position")
@@ -45,13 +49,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op6_url_filters": op6_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 SQL = {
-    "op4_source_mixing": None,
     "op6_url_filters": """
 WITH p AS (
   SELECT page_id, url,
@@ -87,4 +91,3 @@ SELECT conv_id, count(*) AS n_turns,
 FROM n GROUP BY conv_id
 """,
 }
-SQL = {k: v for k, v in SQL.items() if v}
