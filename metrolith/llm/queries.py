@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrolith.io import table
-from metrolith.llm import chat, mixing, packing, simhash, url_filter
+from metrolith.llm import chat, mixing, packing, simhash, substring, url_filter
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")).orderBy("first_position", "doc_id").drop("first_position")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring.dedup_substrings(table(spark, sf_dir, "documents"), 50, 10)
+    joined = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list, which the tables don't hold, is made from them: hosts seen with a tracking parameter."""
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES, F.col("url").contains("utm_"))
@@ -51,6 +57,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
 }
