@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrolith.io import table
-from metrolith.llm import chat, mixing, packing, simhash, substring, url_filter
+from metrolith.llm import ann, chat, minhash, mixing, packing, simhash, substring, url_filter
 
 
 def tokenizer_path() -> str:
@@ -47,6 +47,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES, F.col("url").contains("utm_"))
 
 
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_TURNS, turns.schema)
@@ -59,6 +67,8 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_minhash_fingerprints": op7_minhash_fingerprints,
+    "op8_inner_product_search": op8_inner_product_search,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
