@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrolith.io import table
-from metrolith.llm import ann, chat, minhash, mixing, packing, simhash, substring, url_filter
+from metrolith.llm import ann, chat, lm, minhash, mixing, packing, simhash, substring, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")).orderBy("first_position", "doc_id").drop("first_position")
@@ -55,6 +60,12 @@ def op8_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents labelled as of good quality, the background the whole corpus."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_TURNS, turns.schema)
@@ -64,11 +75,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op8_inner_product_search": op8_inner_product_search,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
 }
 

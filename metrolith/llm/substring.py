@@ -258,8 +258,9 @@ def _kept(words: list[bytes], ranges: list[dict]) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist()) if not g]
 
 
-def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str = "doc_id", text: str = "text", most: int = MOST_IN_BUCKET) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for every row of docs.
+def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str = "doc_id", text: str = "text", most: int = MOST_IN_BUCKET,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) for every row of docs, and the columns named in `carry`.
 
     Words are runs of anything but ASCII white space. Every word is removed that is covered by a window of `width` words
     whose word sequence also starts in a document with a smaller doc_id; all windows are judged on the input. kept_text
@@ -269,9 +270,13 @@ def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str
     each other. Rows with a null doc_id are kept whole and make nothing else a repeat. Texts under `width` words stay.
     Empty tables give empty results; other columns are ignored.
     """
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("rk"), F.col(text).cast("string").alias("text"))
+    d = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("rk"), F.col(text).cast("string").alias("text"),
+        *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)],
+    )
+    carried = [f"carried_{i}" for i in range(len(carry))]
     known, unknown = d.where("doc_id is not null"), d.where("doc_id is null")
-    ranges = repeated_ranges(known, width, m, most)
+    ranges = repeated_ranges(known.select("doc_id", "rk", "text"), width, m, most)
     ranges = ranges.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,10 +288,13 @@ def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str
                 out.append((len(words), len(words) - len(kept), (b" ".join(kept) if ranges else t or b"").decode()))
                 if len(out) == 2000 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i + 1 - len(out), len(out)), *(pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))],
-                        names=["doc_id", "n_words", "n_removed", "kept_text"])
+                        [batch.column(0).slice(i + 1 - len(out), len(out)), *(pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))),
+                         *(c.slice(i + 1 - len(out), len(out)) for c in batch.columns[3:])],
+                        names=["doc_id", "n_words", "n_removed", "kept_text", *carried])
                     out = []
 
-    whole = known.join(ranges, ["doc_id", "rk"], "left").select("doc_id", "text", "ranges")
-    whole = whole.union(unknown.select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>")))
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = known.join(ranges, ["doc_id", "rk"], "left").select("doc_id", "text", "ranges", *carried)
+    whole = whole.union(unknown.select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>"), *carried))
+    types = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carried)
+    out = whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string" + types)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(x).alias(c) for x, c in zip(carried, carry)])
