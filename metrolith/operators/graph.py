@@ -50,3 +50,44 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
         ).first()
 
     return digest(x) == digest(y)
+
+
+def distances(edges: DataFrame, heads: DataFrame, a: str = "a", b: str = "b", length: str = "w", max_rounds: int = 500) -> DataFrame:
+    """(node, head, distance): every node's shortest way from its nearest head along directed edges; ties to the lower head.
+
+    Rounds of relaxation from the frontier that changed: a round is a join and an aggregation.
+    """
+    e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(length).cast("double").alias("w")))
+    best = cut(heads.select(F.col(heads.columns[0]).alias("node")).distinct().select("node", F.struct(F.lit(0.0).alias("d"), F.col("node").alias("head")).alias("best")))
+    front = best
+    for _ in range(max_rounds):
+        step = front.join(e, front["node"] == e["a"]).select(F.col("b").alias("node"), F.struct((F.col("best.d") + F.col("w")).alias("d"), F.col("best.head").alias("head")).alias("best"))
+        step = step.groupBy("node").agg(F.min("best").alias("new"))
+        m = cut(best.join(step, "node", "full").select("node", "best", "new", (F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))).alias("better")))
+        best = m.select("node", F.when(F.col("better"), F.col("new")).otherwise(F.col("best")).alias("best"))
+        front = m.where("better").select("node", F.col("new").alias("best"))
+        if not front.limit(1).count():
+            return best.select("node", F.col("best.head").alias("head"), F.col("best.d").alias("distance"))
+    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+
+
+def reachable(edges: DataFrame, start: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, hops) from the start nodes along directed edges, by fewest hops."""
+    d = distances(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1.0).alias("w")), start)
+    return d.select("node", F.col("distance").cast("int").alias("hops"))
+
+
+def topological_order(items: dict[str, tuple[int, list[str]]]) -> list[str]:
+    """Names after what they need, ties by number and then name; a cycle or an unknown need is an error. For registries."""
+    left = {n: set(needs) for n, (_, needs) in items.items()}
+    unknown = sorted({x for needs in left.values() for x in needs} - left.keys())
+    if unknown:
+        raise ValueError(f"unknown: {', '.join(unknown)}")
+    out: list[str] = []
+    while left:
+        ready = sorted((n for n, needs in left.items() if needs <= set(out)), key=lambda n: (items[n][0], n))
+        if not ready:
+            raise ValueError(f"in a cycle: {', '.join(sorted(left))}")
+        out.append(ready[0])
+        del left[ready[0]]
+    return out
