@@ -13,6 +13,7 @@ from metrolith.functions import geo, names
 from metrolith.io import table
 from metrolith.operators import graph, latest, lifecycle, raster, records, sessions, spatial, stats, status, temporal, transit
 from metrolith.plans import views
+from metrolith.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
 QUERIES, SQL = {}, {}
@@ -691,3 +692,72 @@ def map_matching(spark, sf):
     shapes = pd.DataFrame({"shape": ["a", "a", "b", "b"], "x": [0.0, 500.0, 0.0, 500.0], "y": [0.0, 100.0, 100.0, 0.0]})
     f = events(spark, sf).select(F.col("user_id").cast("string").alias("vehicle"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
     return transit.map_match(f, shapes, gap_s=86400.0)
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+@query("""SELECT DISTINCT user_id, ts FROM events""")
+def stream_dedupe(spark, sf):
+    """Every event comes twice, and is kept once."""
+    s = streams.file_stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = streams.run_available(streams.once_by_key(s.union(s), ["user_id", "ts"], "ts", "30 days"), "append")
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_daily_windows(spark, sf):
+    s = streams.file_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = streams.windowed(s, "ts", "40 days", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
+    out = streams.run_available(w, "update", streams.newest_epoch(["start", "event_type"], ["n", "total"]))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM s), g AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM t GROUP BY user_id, k)
+SELECT user_id, start, n FROM g WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed."""
+    s = streams.file_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.run_available(streams.session_windows(s, "ts", "1 hour", "6 hours", ["user_id"], [F.count("*").alias("n")]), "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1""")
+def stream_latest(spark, sf):
+    s = streams.file_stream(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    s = s.select("user_id", "m.event_id", "m.ts")
+    return streams.run_available(s, "update", streams.newest_epoch(["user_id"], ["event_id", "ts"]))
+
+
+@query("""WITH weekly AS (SELECT user_id, date_trunc('week', ts)::TIMESTAMP AS seen_at, arg_max(event_type, (ts, event_id)) AS content FROM events WHERE user_id % 4 <> 1 OR dayofyear(ts) % 14 < 7 GROUP BY 1, 2), t AS (SELECT seen_at, row_number() OVER (ORDER BY seen_at) AS n FROM (SELECT DISTINCT seen_at FROM weekly)),
+d AS (SELECT weekly.*, t.n, t.n - row_number() OVER (PARTITION BY user_id ORDER BY t.n) AS i FROM weekly JOIN t USING (seen_at)), r AS (SELECT user_id, i, min(seen_at) AS opened_at, max(n) AS l FROM d GROUP BY 1, 2), e AS (SELECT user_id, opened_at, t.seen_at AS closed_at FROM r LEFT JOIN t ON t.n = r.l + 1),
+c AS (SELECT user_id, max(seen_at) AS content_at FROM (SELECT *, lag(content) OVER (PARTITION BY user_id ORDER BY seen_at) AS p FROM weekly) WHERE p IS NULL OR p <> content GROUP BY 1),
+l AS (SELECT user_id, min(opened_at) AS observed_lo, arg_max(CASE WHEN closed_at IS NULL THEN TIMESTAMP '9999-01-01' ELSE closed_at END, opened_at) AS hi, max(opened_at) AS o FROM e GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS source_id, observed_lo, nullif(hi, TIMESTAMP '9999-01-01') AS observed_hi, hi = TIMESTAMP '9999-01-01' AS active, greatest(o, content_at, CASE WHEN hi = TIMESTAMP '9999-01-01' THEN content_at ELSE hi END) AS updated_at FROM l JOIN c USING (user_id)""")
+def stream_lifecycle(spark, sf):
+    """Weekly snapshots merged one after the other: the same as lifecycles() has at once."""
+    import uuid
+
+    from metrolith.io import shared_dir
+
+    e = events(spark, sf).where("user_id % 4 <> 1 or dayofyear(ts) % 14 < 7")
+    weekly = e.groupBy("user_id", F.date_trunc("week", "ts").alias("seen_at")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("content"))
+    t = streams.SnapshotTable(spark, f"{shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}")
+    for n, r in enumerate(weekly.select("seen_at").distinct().orderBy("seen_at").collect()):  # one row for each snapshot
+        at = F.lit(r["seen_at"].isoformat(" ")).cast("timestamp_ntz")
+        t.merge(weekly.where(F.col("seen_at") == at).select(F.col("user_id").cast("string").alias("source_id"), F.col("content").alias("content_hash")), n, at)
+    return t.at(t.versions[-1]).drop("content_hash")
+
+
+@query()
+def stream_late_rows(spark, sf):
+    s = streams.file_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("id"))
+    return streams.run_available(streams.mark_late(s), "append")
+
+
+@query(f"""WITH {GAUGE}, e AS (SELECT user_id, ts AS t, 1 AS k, event_id, st FROM n WHERE st IS NOT NULL UNION ALL SELECT user_id, ts + INTERVAL 86400 SECOND, 0, event_id, 'unknown' FROM n WHERE (epoch_us(nx) - epoch_us(ts)) / 1e6 > 86400),
+c AS (SELECT *, lag(st) OVER (PARTITION BY user_id ORDER BY t, k, event_id) AS p FROM e) SELECT CAST(user_id AS VARCHAR) AS key, st AS state, round(epoch_us(t) / 1e6, 3) AS since FROM c WHERE p IS NULL OR p <> st""")
+def stream_gauge(spark, sf):
+    e = streams.file_stream(spark, sf, "events")
+    st = temporal.gauge_state(F.when(F.col("event_type") == "click", F.col("value") * 10), F.when(F.col("event_type") != "error", F.col("value")), 300.0, 40.0, 10.0)
+    s = e.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), st.alias("state"))
+    return streams.run_available(streams.gauge_changes(s, 86400.0), "append").withColumn("since", F.round("since", 3))
