@@ -95,7 +95,8 @@ def not_yet_read(files: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 def decode_polyline(text: Column, precision: int = 5) -> Column:
     """The points of an encoded polyline, by built-in functions: characters to chunks, chunks to signed steps, sums to points."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))) - 63)
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(places, lambda i: F.ascii(F.substring(text, i, F.lit(1))) - 63)
     state = F.aggregate(
         codes,
         F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("s")),
