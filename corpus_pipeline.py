@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays: one of its rows, if rows share that id."""
-    groups = simhash.near_duplicates(docs, radius=3, k=5)
+    """Of each SimHash group the document with the smallest doc_id stays: one of its rows, if rows share that id.
+
+    Groups are those of shingles of five words and a similarity of 0.8 or more, by wide fingerprints.
+    """
+    groups = simhash.similar_groups(docs, 0.8, k=5)
     leaders = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])

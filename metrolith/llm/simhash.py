@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,26 +95,36 @@ def shingle_ranges(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray,
     return data, starts, ends - starts, counts
 
 
-def simhashes(texts: list[bytes], k: int = 3, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text, from UTF-8 bytes: a bit is set if it is in over half of the shingles' hashes."""
+def simhashes(texts: list[bytes], k: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
+    """The fingerprint of each text, from UTF-8 bytes: a bit is set if it is in over half of the shingles' hashes.
+
+    With several `words` a row of them for each text: the hashes are widened by mixing.
+    """
     data, starts, lengths, counts = shingle_ranges([t.lower() for t in texts], k)
     hashes = xxh64_ranges(data, starts, lengths, seed)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), words), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         ends = np.cumsum(counts[some])
-        sums = np.zeros((len(some), 64), np.int32)
+        sums = np.zeros((len(some), 64 * words), np.int32)
         begins = np.concatenate([[0], ends[:-1]])
-        step = 1 << 16
+        step = (1 << 16) // words
         for lo in range(0, len(hashes), step):  # by pieces, so that very long texts take no more memory
             hi = min(lo + step, len(hashes))
             i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(begins, hi, "left")
-            bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            wide = np.stack([hashes[lo:hi] if w == 0 else _mixed(hashes[lo:hi], w) for w in range(words)], axis=1)
+            bits = np.unpackbits(wide.view(np.uint8).reshape(hi - lo, -1), axis=1, bitorder="little")
             cuts = np.maximum(begins[i:j] - lo, 0)
             sums[i:j] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
         set_ = sums * 2 > counts[some][:, None]
-        out[some] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        out[some] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).reshape(len(some), words)
+    return out[:, 0] if words == 1 else out
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt * int(P1) % 2**64)) * P2
+    x = (x ^ (x >> np.uint64(29))) * P3
+    return x ^ (x >> np.uint64(32))
 
 
 def _in_slices(texts: list[bytes], most_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
@@ -145,17 +156,18 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, doc_id: str = "doc
 def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j), i < j, of values of one group that differ in at most `radius` bits; rows are sorted by group.
 
-    Bit planes are stored vertically: word b of plane p has bit p of values 64b..64b+63. Each query runs down the
-    planes of every block that holds later members of its group, and carry-save counters add up 64 distances at once.
-    The counter saturates above the radius; a block is abandoned once no distance in it can still be small enough.
+    Values are 64-bit words, or rows of several. Bit planes are stored vertically: word b of plane p has bit p of values
+    64b..64b+63. Each query runs down the planes of every block that holds later members of its group, and carry-save
+    counters add up 64 distances at once. What leaves the counters is above the radius for good; a block is abandoned
+    once no distance in it can still be small enough.
     """
-    n = len(values)
+    n, width = len(values), 64 * (values.size // max(len(values), 1))
     blocks = -(-n // 64)
-    padded = np.zeros(blocks * 64, np.uint64)
-    padded[:n] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # value x plane
-    planes = np.packbits(bits.reshape(blocks, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, blocks, 8)
-    planes = np.ascontiguousarray(planes).view(np.uint64).reshape(64, blocks)
+    padded = np.zeros((blocks * 64, width // 64), np.uint64)
+    padded[:n] = values.reshape(n, -1)
+    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks * 64, -1), axis=1, bitorder="little")  # value x plane
+    planes = np.packbits(bits.reshape(blocks, 64, width).transpose(2, 0, 1), axis=2, bitorder="little").reshape(width, blocks, 8)
+    planes = np.ascontiguousarray(planes).view(np.uint64).reshape(width, blocks)
     ends = np.concatenate([np.flatnonzero(np.diff(group)) + 1, [n]])
     end_of = ends[np.searchsorted(ends, np.arange(n), "right")] if n else ends
     queries = np.flatnonzero(end_of > np.arange(n) + 1)
@@ -163,7 +175,7 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.
     per = last - first + 1
     heads, tails = [], []
     depth = max(1, int(radius + 1).bit_length())
-    step = 1 << 18
+    step = 1 << 17
     bounds = np.searchsorted(np.cumsum(per), np.arange(step, int(per.sum()) + step, step), "left") + 1
     for some in np.split(np.arange(len(queries)), bounds[bounds < len(queries)]):
         if not len(some):
@@ -178,14 +190,15 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.
         alive = upto(hi) & ~upto(lo)
         counter = [np.zeros(len(q), np.uint64) for _ in range(depth)]
         over = np.zeros(len(q), np.uint64)
-        value = values[q]
-        for p in range(64):
-            same = (value >> np.uint64(p)) & np.uint64(1)
+        for p in range(width):
+            if p % 64 == 0:
+                value = padded[q, p // 64]
+            same = (value >> np.uint64(p % 64)) & np.uint64(1)
             carry = planes[p][b] ^ (np.uint64(0) - same)
             for c in range(depth):  # carry-save: add one bit to 64 counters
                 counter[c], carry = counter[c] ^ carry, counter[c] & carry
             over |= carry
-            if p % 8 == 7:
+            if p % 8 == 7 and (p > radius or p == width - 1):
                 # Distances above the radius: those whose counter, read from its highest bit, is greater.
                 greater, equal = over.copy(), full
                 for c in reversed(range(depth)):
@@ -325,3 +338,128 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, seed: int = 42
     of = cut(of.select("fp", "component").join(least, "component").select("fp", "component_id"))
     out = fps.join(of, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words of a wide fingerprint, tables of sampled bits, bits of a table's key, and bits by which large buckets are split.
+WORDS, TABLES, KEY_BITS, MORE_BITS, LEVELS = 4, 50, 16, 8, 5
+
+
+def radius_of(similarity: float, bits: int, slack: float = 0.6) -> int:
+    """The distance of wide fingerprints that stands for a Jaccard similarity of shingle sets.
+
+    Sets of one size with the similarity J have the cosine 2J / (1 + J), and each bit differs with the probability
+    acos(cosine) / pi. `slack` standard deviations above the mean are allowed.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def _sampled(words: int, tables: int, seed: int) -> np.ndarray:
+    """For each table an order of all bits: its key takes the first ones."""
+    r = np.random.default_rng(seed)
+    return np.stack([r.permutation(64 * words) for _ in range(tables)])
+
+
+def _keys(fps: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
+    """The key of each fingerprint: the bits at the first `bits` places of the order (one order, or one for each)."""
+    unpacked = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    picked = unpacked[:, order[:bits]] if order.ndim == 1 else np.take_along_axis(unpacked, order[:, :bits], axis=1)
+    return picked.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: int = 42, words: int = WORDS, tables: int = TABLES,
+                   key_bits: int = KEY_BITS, most: int = MOST_IN_BUCKET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: groups of texts whose shingle sets have a Jaccard similarity of about
+    `similarity` or more, by fingerprints of 64 * words bits that lie within radius_of(similarity).
+
+    That radius is too wide for the exact buckets of near_duplicates(). Here each of `tables` tables keys its buckets by
+    key_bits sampled bits; members of a bucket are compared bit-sliced, as there. A pair at the radius' mean shares a
+    bucket of some table with a probability of 97 percent or more, a closer one of nearly 1; key_bits should grow with the logarithm
+    of the number of documents, and tables with it. Buckets of more than `most` are keyed by more bits, in all of which
+    near copies mostly agree; at the last level they are compared whatever their size.
+
+    Nulls, empty texts, repeated rows and empty tables are as in near_duplicates().
+    """
+    radius = radius_of(similarity, 64 * words)
+    order = _sampled(words, tables, seed)
+    names = [f"w{i}" for i in range(words)]
+    fp_schema = ", ".join(f"{w} long" for w in names)
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [simhashes(some, k, seed, words) for some in _in_slices(texts)]
+            fp = (np.concatenate(found) if found else np.zeros((0, words), np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words))], names=["doc_id", *names])
+
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fps = stored(d.mapInArrow(wide, "doc_id long, " + fp_schema).withColumn("node", F.xxhash64(*names)))
+    low = stored(fps.groupBy("node", *names).agg(F.min("doc_id").alias("low")))
+
+    def columns(batch: pa.RecordBatch, at: int) -> np.ndarray:
+        return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[at : at + words]], axis=1) if batch.num_rows else np.zeros((0, words), np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                fp = columns(batch, 1)
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(_keys(fp, order[t], key_bits)), *batch.columns], names=["mask", "part", "node", *names])
+
+    def longer(bits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = batch.column(0).to_numpy()
+                fp = columns(batch, 2)
+                part = _keys(fp, order[table], bits) if len(fp) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), *batch.columns[1:]], names=["mask", "part", "node", *names])
+
+        return run
+
+    schema = "mask int, part long, node long, " + fp_schema
+    members = low.select("node", *names).mapInArrow(keyed, schema)
+    found, bits = None, key_bits
+    for level in range(LEVELS):
+        sizes = cut(members.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"))
+        sized = members.join(sizes, ["mask", "part"])
+        last = level == LEVELS - 1
+        now = _compare_wide(sized if last else sized.where(F.col("n") <= most), names, radius)
+        found = now if found is None else found.union(now)
+        if last or not sizes.where(F.col("n") > most).limit(1).count():
+            break
+        bits += MORE_BITS
+        members = stored(sized.where(F.col("n") > most).select("mask", "node", *names).mapInArrow(longer(bits), schema))
+    ties = cut(connected_components(cut(found.distinct())))
+    of = low.join(ties, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    of = cut(of)
+    least = cut(of.groupBy("component").agg(F.min("low").alias("component_id")))
+    of = cut(of.select("node", "component").join(least, "component").select("node", "component_id"))
+    return fps.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+
+
+def _compare_wide(sized: DataFrame, names: list[str], radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def compared(rows: np.ndarray) -> pa.RecordBatch:
+            new = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+            group = np.concatenate([[0], np.cumsum(new)])
+            i, j = close_pairs(np.ascontiguousarray(rows[3:].T).view(np.uint64), group, radius)
+            root = _spanning(rows.shape[1], i, j)
+            tied = np.flatnonzero(root != np.arange(rows.shape[1]))
+            return pa.RecordBatch.from_arrays([pa.array(rows[2][tied]), pa.array(rows[2][root[tied]])], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = np.concatenate([*held, rows], axis=1) if held else rows
+            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
+            whole = int(change[-1]) + 1 if len(change) else 0
+            if whole:
+                yield compared(rows[:, :whole])
+            held = [rows[:, whole:]]  # the last bucket may go on
+        if held and held[0].shape[1]:
+            yield compared(held[0])
+
+    dealt = sized.select("mask", "part", "node", *names).repartition("mask", "part").sortWithinPartitions("mask", "part", "node")
+    return dealt.mapInArrow(run, "a long, b long")

@@ -84,3 +84,31 @@ def test_empty_and_repeated(spark):
     assert simhash.near_duplicates(docs).collect() == []
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
     assert [(x.doc_id, x.component_id) for x in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == [(None, 4), (4, 4), (4, 4)]
+
+
+def test_similar_groups(spark, monkeypatch):
+    """Pairs well above the similarity are linked, pairs well below it aren't; splitting large buckets loses none of them."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[r.choice(words) for _ in range(r.choice([200, 600, 1200]))] for _ in range(40)]
+    texts, origin, edits = [], [], []
+    for n, b in enumerate(base):
+        for share in (0, 0.005, 0.01, 0.1, 0.2):
+            c = list(b)
+            for _ in range(int(share * len(c)) + (share > 0)):
+                c[r.randrange(len(c))] = r.choice(words)
+            texts.append(" ".join(c))
+            origin.append(n)
+            edits.append(share)
+    shingles = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(900, None, 1), (901, "", 1), (None, texts[0], 1)], "doc_id long, text string, node int").repartition(3)
+    for most in (2048, 2):
+        got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs, most=most).collect()}
+        assert got[900] == got[901] == 900 and got[None] == got[0]
+        near = [(a, b) for a in range(len(texts)) for b in range(a) if origin[a] == origin[b] and like(a, b) >= 0.88]
+        assert len(near) > 40 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+        assert all(origin[c] == origin[a] for a, c in got.items() if a is not None and a < 900)
+        apart = [i for i in range(len(texts)) if edits[i] == 0.2 and max(like(i, j) for j in range(len(texts)) if j != i and origin[j] == origin[i]) < 0.6]
+        assert len(apart) > 20 and all(got[i] == i for i in apart)
+    assert simhash.similar_groups(docs.limit(0)).collect() == []
