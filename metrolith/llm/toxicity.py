@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,17 @@ LEXICON = (
     "disgusting", "jerk", "fool", "imbecile", "coward", "liar", "freak", "creep", "pig", "vermin", "filth", "hate", "hateful",
 )
 PATTERNS = (r"\bshut up\b", r"\bget lost\b", r"\byou(?:'re| are) (?:a|an|so|such)\b", r"\bgo to hell\b", r"!{3,}", r"\bi hate\b")
+#: For each pattern a text without which it can't match.
+NEEDED = ("shut up", "get lost", "you", "go to hell", "!!!", "i hate")
 #: Beginnings of words that can become voters, by length; 0 stands for whole words.
-STEMS = (0, 4, 5, 6)
+STEMS = (0, 3, 4, 5, 6, 7, 8)
+SHORTEST = STEMS[1]
+#: A beginning of words is dense in a text with so many hits, and so large a share of its tokens.
+LEAST_HITS, LEAST_SHARE = 2, 0.008
 #: The most labelled rows that are learned from, and the most voters found in them.
 MOST_ROWS, MOST_VOTERS = 8000, 160
+#: Features of toxic rows that are looked at, the commonest first.
+MOST_CANDIDATES = 40_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,15 +39,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> tuple[dict[str, int], int]:
+    """How often each word stands in a text, lower-cased (words are runs of letters), and the number of its tokens."""
+    tokens = (text or "").lower().split()
+    out: dict[str, int] = {}
+    for token, n in Counter(tokens).items():
+        for word in (token,) if token.isalpha() else WORD.findall(token):
+            out[word] = out.get(word, 0) + n
+    return out, len(tokens)
 
 
-def features_of(words: set[str]) -> set[str]:
-    """Words, and beginnings of longer words with a dash behind."""
+def is_dense(hits: int, tokens: int) -> bool:
+    """Beginnings of words can meet clean words by chance, now and then: they speak only where they crowd."""
+    return hits >= LEAST_HITS and hits >= LEAST_SHARE * tokens
+
+
+def features_of(words: dict[str, int], tokens: int) -> set[str]:
+    """Words, and beginnings of longer words, with a dash behind, that are dense in the text."""
     out = set(words)
     for n in STEMS[1:]:
-        out.update([w[:n] + "-" for w in words if len(w) > n])
+        hits: dict[str, int] = {}
+        for w, c in words.items():
+            if len(w) > n:
+                hits[w[:n]] = hits.get(w[:n], 0) + c
+        out.update([f"{b}-" for b, c in hits.items() if is_dense(c, tokens)])
     return out
 
 
@@ -51,30 +74,38 @@ class Voters:
     stems: dict[int, dict[str, int]]
     patterns: tuple[str, ...]
     names: tuple[str, ...]
+    openings: frozenset[str]
 
     @staticmethod
     def of(features: list[str]) -> Voters:
         names = [*dict.fromkeys([*LEXICON, *features]), *PATTERNS]
         at = {n: i for i, n in enumerate(names[: len(names) - len(PATTERNS)])}
         stems = {n: {f[:-1]: i for f, i in at.items() if f.endswith("-") and len(f) == n + 1} for n in STEMS[1:]}
-        return Voters({f: i for f, i in at.items() if not f.endswith("-")}, stems, PATTERNS, tuple(names))
+        openings = frozenset(s[:SHORTEST] for of in stems.values() for s in of)
+        return Voters({f: i for f, i in at.items() if not f.endswith("-")}, stems, PATTERNS, tuple(names), openings)
 
     def counts(self, text: str | None) -> np.ndarray:
-        """For each voter, how many different words (or how many matches) of a whole text speak for it."""
-        lowered = (text or "").lower()
-        words = set(WORD.findall(lowered))
+        """For each voter, how many words (or how many matches) of a whole text speak for it."""
+        words, tokens = words_of(text)
         out = np.zeros(len(self.names), np.float32)
-        for w in words & self.words.keys():
-            out[self.words[w]] = 1
+        for w in words.keys() & self.words.keys():
+            out[self.words[w]] = words[w]
+        begun = [w for w in words if w[:SHORTEST] in self.openings]
         for n, at in self.stems.items():
+            hits: dict[int, int] = {}
             if at:
-                for w in words:
+                for w in begun:
                     i = at.get(w[:n])
                     if i is not None and len(w) > n:
-                        out[i] += 1
+                        hits[i] = hits.get(i, 0) + words[w]
+            for i, c in hits.items():
+                if is_dense(c, tokens):
+                    out[i] = c
+        lowered = (text or "").lower()
         base = len(self.names) - len(self.patterns)
         for k, p in enumerate(self.patterns):
-            out[base + k] = len(re.findall(p, lowered))
+            if NEEDED[k] in lowered:
+                out[base + k] = len(re.findall(p, lowered))
         return out
 
 
@@ -192,11 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_v
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for t in batch.column(0).to_pylist():
-                    found = features_of(words_of(t))
+                    found = features_of(*words_of(t))
                     yield pa.RecordBatch.from_arrays([pa.array(list(found if only is None else found & only), pa.string())], names=["f"])
 
         n = rows.select("text").mapInArrow(run, "f string").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        return {r["f"]: r["n"] for r in n.orderBy(F.desc("n"), "f").limit(20_000).collect()}
+        return {r["f"]: r["n"] for r in n.orderBy(F.desc("n"), "f").limit(MOST_CANDIDATES).collect()}
 
     in_toxic = counted(sample.where("y = 1"), None, max(3, n_toxic // 100))
     in_clean = counted(sample.where("y <> 1"), frozenset(in_toxic), 1)
