@@ -153,3 +153,39 @@ def clusters(points: DataFrame, key: str, radius: float, same: Sequence[str] = (
         pairs = pairs.where(F.col(c).eqNullSafe(F.col(f"r_{c}")))
     found = connected_components(pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b")))
     return points.join(found, points[key] == found["node"], "left").select(points["*"], F.coalesce("component", key).alias("cluster"))
+
+
+def crossings(lines: DataFrame, line: str, size: float, points: str = "points") -> DataFrame:
+    """(a, b, x, y): where segments of different lines cross, a < b. Segments meet in the cells that their boxes touch; a
+    crossing counts in the one cell that holds it."""
+    seg = lines.select(line, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: F.struct(F.get(points, i - 1).alias("p"), F.get(points, i).alias("q")))).alias("n", "s"))
+    seg = seg.where("s.p is not null and s.q is not null").select(line, "n", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
+    seg = seg.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    o = seg.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in (line, "n", "x0", "y0", "x1", "y1")])
+    j = seg.join(o, ["cx", "cy"]).where(F.col(line) < F.col(f"o_{line}"))
+    ux, uy, vx, vy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("o_x1") - F.col("o_x0"), F.col("o_y1") - F.col("o_y0")
+    wx, wy = F.col("o_x0") - F.col("x0"), F.col("o_y0") - F.col("y0")
+    det = F.nullif(ux * vy - uy * vx, F.lit(0.0))
+    j = j.withColumn("t", (wx * vy - wy * vx) / det).withColumn("u", (wx * uy - wy * ux) / det).where(F.col("t").between(0, 1) & F.col("u").between(0, 1))
+    j = j.withColumn("x", F.col("x0") + F.col("t") * ux).withColumn("y", F.col("y0") + F.col("t") * uy)
+    j = j.where((F.floor(F.col("x") / size) == F.col("cx")) & (F.floor(F.col("y") / size) == F.col("cy")))
+    return j.select(F.col(line).alias("a"), F.col(f"o_{line}").alias("b"), "x", "y")
+
+
+def neighbours(lines: DataFrame, near: float, step: float, least_m: float) -> DataFrame:
+    """(line, other, shared_m): lines that run near each other for least_m metres or more."""
+    m = match_lines(lines.withColumnRenamed("line", "target"), lines, near, step, 0.0, 90.0).where("target <> line")
+    return m.where(F.col("overlap_m") >= least_m).select(F.col("target").alias("line"), F.col("line").alias("other"), F.col("overlap_m").alias("shared_m"))
+
+
+def apart(rows: DataFrame, from_: DataFrame, radius: float, key: str) -> DataFrame:
+    """Rows that have none of `from_` within the radius."""
+    return rows.join(radius_join(rows, from_, radius).select(key).distinct(), key, "left_anti")
+
+
+def coverage(targets: DataFrame, matches: DataFrame, source: str, target: str = "target") -> DataFrame:
+    """By source: targets, those with a match, matches, the share that is covered."""
+    m = targets.select(target, source).join(matches.select(target, F.lit(1).alias("_m")), target, "left")
+    c = m.groupBy(source).agg(F.countDistinct(target).alias("lines"), F.countDistinct(F.when(F.col("_m") == 1, F.col(target))).alias("matched"), F.count("_m").alias("matches"))
+    return c.withColumn("covered", F.col("matched") / F.col("lines"))

@@ -132,3 +132,35 @@ def spend(df: DataFrame, order: Sequence[Column], cost: str, budget: float, grou
     """The plan by priority: rows in order while the running cost stays within the budget."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+
+
+def spend_skipping(df: DataFrame, group: Sequence[str], order: Sequence[str], cost: str, budget: float) -> DataFrame:
+    """The plan by priority that skips what no longer fits and goes on: what is taken depends on all before, so each
+    group is walked in order. Groups are plans of one round, which are short."""
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        left, keep = budget, []
+        for c in pdf[cost]:
+            keep.append(c <= left)
+            left -= c if keep[-1] else 0
+        return pdf[keep]
+
+    return df.groupBy(*group).applyInPandas(walk, df.schema)
+
+
+def looked_up(df: DataFrame, tables: Sequence[tuple[DataFrame, str, str]], value: str, default: Column | None = None) -> DataFrame:
+    """A value from the first table that knows the row: (table, the row's key, the table's key) in turn, then the default."""
+    found = []
+    for i, (t, own, key) in enumerate(tables):
+        one = t.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))
+        df = df.join(one, df[own] == one[f"_k{i}"], "left").drop(f"_k{i}")
+        found.append(F.col(f"_v{i}"))
+    df = df.withColumn(value, F.coalesce(*found, *([default] if default is not None else [])))
+    return df.drop(*[f"_v{i}" for i in range(len(tables))])
+
+
+def visible(df: DataFrame, cls: str, least_zoom: dict[str, int], zoom: int) -> DataFrame:
+    """Rows whose class shows at a zoom; classes that aren't listed never do."""
+    return df.where(F.col(cls).isin([c for c, z in least_zoom.items() if z <= zoom]))

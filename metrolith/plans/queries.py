@@ -761,3 +761,97 @@ def stream_gauge(spark, sf):
     st = temporal.gauge_state(F.when(F.col("event_type") == "click", F.col("value") * 10), F.when(F.col("event_type") != "error", F.col("value")), 300.0, 40.0, 10.0)
     s = e.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), st.alias("state"))
     return streams.run_available(streams.gauge_changes(s, 86400.0), "append").withColumn("since", F.round("since", 3))
+
+
+# --- more of the same kinds ----------------------------------------------------------------------------------------
+
+SEGS = """v AS (SELECT l_orderkey AS id, l_linenumber AS n, max(l_quantity) AS q FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2), s AS (SELECT id, n * 40.0 AS x0, q AS y0, lead(n) OVER w * 40.0 AS x1, lead(q) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY n)), g AS (SELECT * FROM s WHERE x1 IS NOT NULL)"""
+
+
+def _tracks(spark, sf):
+    v = table(spark, sf, "lineitem").where("l_orderkey % 97 = 0").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
+    v = v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "q"))).alias("v")).where("size(v) >= 2")
+    return v.select(F.col("id").alias("line"), F.transform("v", lambda s: F.struct((s["n"] * 40.0).alias("x"), s["q"].alias("y"))).alias("points"))
+
+
+@query(f"""WITH {SEGS}, c AS (SELECT a.id AS a, b.id AS b, a.x0, a.y0, a.x1 - a.x0 AS ux, a.y1 - a.y0 AS uy, b.x1 - b.x0 AS vx, b.y1 - b.y0 AS vy, b.x0 - a.x0 AS wx, b.y0 - a.y0 AS wy FROM g a JOIN g b ON a.id < b.id),
+t AS (SELECT *, (wx * vy - wy * vx) / nullif(ux * vy - uy * vx, 0) AS t, (wx * uy - wy * ux) / nullif(ux * vy - uy * vx, 0) AS u FROM c) SELECT a, b, count(*) AS n, round(min(x0 + t * ux), 4) AS first_x FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 GROUP BY 1, 2""")
+def line_crossings(spark, sf):
+    c = spatial.crossings(_tracks(spark, sf), "line", 25.0)
+    return c.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.min("x"), 4).alias("first_x"))
+
+
+@query()
+def line_neighbours(spark, sf):
+    return spatial.neighbours(_tracks(spark, sf), 8.0, 10.0, 40.0)
+
+
+@query(f"""WITH p AS ({PTS}) SELECT a.id FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.kind = 3 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 30) AND a.kind <> 3""")
+def points_apart(spark, sf):
+    p = points(spark, sf)
+    return spatial.apart(p.where("kind <> 3"), p.where("kind = 3"), 30.0, "id").select("id")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS target, o_orderpriority AS source, l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey) SELECT source, count(DISTINCT target) AS lines, count(DISTINCT target) FILTER (l_linenumber IS NOT NULL) AS matched, count(l_linenumber) AS matches, round(count(DISTINCT target) FILTER (l_linenumber IS NOT NULL) / count(DISTINCT target), 6) AS covered FROM m GROUP BY 1""")
+def coverage_report(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_orderpriority").alias("source"))
+    m = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("target"))
+    return spatial.coverage(o, m, "source").withColumn("covered", F.round("covered", 6))
+
+
+@query("""WITH s AS (SELECT p_name, min(p_size) AS v FROM part WHERE p_type = 'SMALL' GROUP BY 1), b AS (SELECT p_brand, min(p_size) AS v FROM part WHERE p_type = 'ECONOMY' GROUP BY 1) SELECT p_partkey, coalesce(s.v, b.v, -1) AS p_size FROM part p LEFT JOIN s USING (p_name) LEFT JOIN b USING (p_brand)""")
+def lookup_fallback(spark, sf):
+    p = table(spark, sf, "part")
+    return stats.looked_up(p.drop("p_size"), [(p.where("p_type = 'SMALL'"), "p_name", "p_name"), (p.where("p_type = 'ECONOMY'"), "p_brand", "p_brand")], "p_size", F.lit(-1)).select("p_partkey", "p_size")
+
+
+@query("""SELECT p_partkey, p_type FROM part WHERE p_type IN ('SMALL', 'LARGE')""")
+def zoom_visibility(spark, sf):
+    return stats.visible(table(spark, sf, "part"), "p_type", {"SMALL": 8, "LARGE": 10, "ECONOMY": 14}, 12).select("p_partkey", "p_type")
+
+
+@query()
+def budget_with_skips(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
+    return stats.spend_skipping(o, ["o_custkey"], ["o_orderpriority", "o_orderkey"], "o_totalprice", 500_000.0)
+
+
+@query(f"""WITH p AS ({PTS}), r(zone, x0, y0) AS (VALUES (1, -200, -200), (2, -100, -150)), c AS (SELECT zone, cx, cy FROM r, range(-40, 40) a(cx), range(-40, 40) b(cy) WHERE (cx + 0.5) * 10 BETWEEN x0 AND x0 + 150 AND (cy + 0.5) * 10 BETWEEN y0 AND y0 + 150)
+SELECT a.zone AS a, b.zone AS b, count(*) * CAST(100 AS DOUBLE) AS area, round(count(*) / (SELECT count(*) FROM c WHERE zone = a.zone), 6) AS share FROM c a JOIN c b ON a.cx = b.cx AND a.cy = b.cy GROUP BY 1, 2""")
+def overlap_shares(spark, sf):
+    ring = lambda x, y: [(float(x), float(y)), (x + 150.0, float(y)), (x + 150.0, y + 150.0), (float(x), y + 150.0)]
+    z = spark.createDataFrame([(1, ring(-200, -200)), (2, ring(-100, -150))], "zone int, ring array<struct<x:double,y:double>>")
+    s = spatial.shared_area(z.withColumnRenamed("zone", "a"), z.withColumnRenamed("zone", "b"), 10.0, "a", "b")
+    return s.withColumn("share", F.round("share", 6))
+
+
+@query()
+def street_names_agree(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("N "), F.col("p_name"), F.lit(" Road")).alias("a"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(" Rd")).alias("b"))
+    return p.select("p_partkey", names.names_agree(F.col("a"), F.col("b")).alias("agree"))
+
+
+@query()
+def vector_tiles(spark, sf):
+    from metrolith.sources.sinks import vector_tiles as tiles
+
+    p = points(spark, sf).withColumn("lon", F.col("x") / 100 - 116.2).withColumn("lat", F.col("y") / 100 + 43.6)
+    return tiles(p, "points", "id", "lon", "lat", 8, ["kind", "value"])
+
+
+@query("""WITH c AS (SELECT p_partkey, md5(p_name) AS h FROM part), r AS (SELECT p_partkey, CAST(('0x' || substr(h, 1, 2)) AS INT) / 255 AS r, CAST(('0x' || substr(h, 3, 2)) AS INT) / 255 AS g, CAST(('0x' || substr(h, 5, 2)) AS INT) / 255 AS b FROM c), l AS (SELECT p_partkey, CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE ((r + 0.055) / 1.055) ** 2.4 END AS r, CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE ((g + 0.055) / 1.055) ** 2.4 END AS g, CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE ((b + 0.055) / 1.055) ** 2.4 END AS b FROM r)
+SELECT p_partkey, round(1.05 / (0.2126 * r + 0.7152 * g + 0.0722 * b + 0.05), 4) AS on_white FROM l""")
+def colour_contrast(spark, sf):
+    from metrolith.functions import color
+
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6)).alias("c"))
+    return p.select("p_partkey", F.round(color.contrast(F.col("c"), F.lit("#ffffff")), 4).alias("on_white"))
+
+
+@query("""SELECT CASE WHEN p_size % 3 = 0 THEN 'paved' WHEN p_size % 3 = 1 THEN 'gravel' END AS surface, count(*) AS n FROM part GROUP BY 1""")
+def sql_functions(spark, sf):
+    from metrolith.plans.scheduler import register_functions
+
+    register_functions(spark)
+    p = table(spark, sf, "part").withColumn("tag", F.when(F.col("p_size") % 3 == 0, "asphalt").when(F.col("p_size") % 3 == 1, "compacted").otherwise("x"))
+    return p.select(F.expr("surface_class(tag)").alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
