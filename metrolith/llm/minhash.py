@@ -18,8 +18,6 @@ SHINGLE, PERMUTATIONS, SEED = 5, 128, 7
 SLICE = 2 << 20
 #: Bands of a signature; at a likeness of 0.8, 1 - (1 - 0.8^4)^32 leaves out two pairs in ten million.
 BANDS = 32
-#: Different fingerprints that one band bucket compares with each other in one task.
-MOST_IN_BUCKET = 512
 
 
 def _coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +161,17 @@ def fingerprint_documents(docs: DataFrame, permutations: int = PERMUTATIONS, see
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, permutations: int = PERMUTATIONS, seed: int = SEED,
-                    k: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                    k: int = SHINGLE, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row: classes of texts linked by a Jaccard similarity of `threshold` or more.
 
-    Texts with the same set of shingles are one class to begin with. Bands of the signatures bring representatives of
-    other classes together; each pair's Jaccard similarity is verified on the sets of shingle hashes. Buckets of more
-    than MOST_IN_BUCKET representatives are compared with the links of the bucket's smallest only, whose links are
-    exact, and the rest of such a bucket meets in its other bands. class_id is the smallest doc_id of a class.
-    Null texts count as empty and are one class; null doc_ids keep their rows. Empty tables give empty results.
+    Texts with the same set of shingles are one class to begin with, and one of them stands for all. Bands of the
+    signatures bring classes together; each candidate pair's similarity is verified on the sets of shingle hashes.
+    First come a few rounds in which each bucket's members meet one of them, a different one each time: pairs as many as
+    members. After that, only pairs of a bucket whose members don't hang together yet are verified: all of those, so no
+    link between different texts is lost that shares a band. class_id is the smallest doc_id of a class.
+
+    Null texts count as empty and are one class with texts without words; null doc_ids keep their rows. Repeated rows
+    are exact copies. Empty tables give empty results; other columns are ignored.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
             found = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             sig = signatures(texts, permutations, seed, k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]),
+                [batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
                  pa.array([s.view(np.int64).tolist() for s in found], pa.list_(pa.int64())),
                  pa.array([[int.from_bytes(hashlib.blake2b(bytes([i]) + x.tobytes(), digest_size=8).digest(), "little", signed=True) for i, x in enumerate(np.split(s, bands))] for s in sig], pa.list_(pa.int64()))],
                 names=["doc_id", "cls", "shingles", "bands"])
@@ -189,16 +190,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     d = stored(d.mapInArrow(sets, "doc_id long, cls binary, shingles array<long>, bands array<long>"))
     classes = stored(d.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    sizes = cut(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1"))
-    sized = banded.join(sizes, "band")
-    small = sized.where(F.col("n") <= MOST_IN_BUCKET)
-    pairs = small.alias("x").join(small.alias("y"), "band").where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    stars = sized.where((F.col("n") > MOST_IN_BUCKET) & (F.col("cls") > F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    pairs = cut(pairs.union(stars).distinct())
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    banded = stored(banded.join(shared, "band"))
     held = classes.select("cls", "shingles")
-    both = pairs.join(held.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a").join(held.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    links = both.where(common >= threshold * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = cut(pairs.distinct()).join(held.select(F.col("cls").alias("a"), F.col("shingles").alias("s")), "a").join(held.select(F.col("cls").alias("b"), F.col("shingles").alias("t")), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return cut(both.where(common >= threshold * (F.size("s") + F.size("t") - common)).select("a", "b"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The members of buckets, with what they hang together with so far."""
+        ties = connected_components(links).withColumnRenamed("node", "cls")
+        return cut(banded.join(cut(ties), "cls", "left").select("cls", "band", F.coalesce("component", "cls").alias("component")))
+
+    links, members = None, banded.withColumn("component", F.col("cls"))
+    for i in range(rounds):
+        leaders = cut(members.groupBy("band").agg(F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), F.col("cls").alias("a"), F.col("component").alias("c"))).alias("l")))
+        pairs = members.join(leaders, "band").where(F.col("component") != F.col("l.c"))
+        now = verified(pairs.select(F.least("l.a", "cls").alias("a"), F.greatest("l.a", "cls").alias("b")))
+        links = now if links is None else cut(links.union(now))
+        members = joined(links)
+    apart = members.alias("x").join(members.alias("y"), "band").where("x.component < y.component")
+    links = cut(links.union(verified(apart.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")))))
     ties = cut(connected_components(links))
     of = classes.join(ties.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "low", F.coalesce("component", "cls").alias("component"))
     of = cut(of)
