@@ -437,20 +437,20 @@ def name_normalise_join(spark, sf):
 # --- views ---------------------------------------------------------------------------------------------------------
 
 @query("""WITH seg AS (SELECT p_partkey AS segment, CASE p_size % 6 WHEN 0 THEN 'Interstate' WHEN 1 THEN 'Principal Arterial' WHEN 2 THEN 'Minor Arterial' WHEN 3 THEN 'Collector' WHEN 4 THEN 'Local' ELSE 'Alley' END AS functional, p_size % 5 = 0 AS one_way, CASE p_size % 4 WHEN 0 THEN 'SH' WHEN 1 THEN 'US' ELSE 'LR' END AS rs FROM part),
-r AS (SELECT l_partkey AS segment, CASE l_suppkey % 4 WHEN 0 THEN 'hpms' WHEN 1 THEN 'msm' WHEN 2 THEN 'osm' ELSE 'compass' END AS source, CASE WHEN l_quantity % 7 = 0 THEN NULL ELSE CAST(l_quantity AS INT) % 6 + 1 END AS through, l_linenumber = 1 AS single_lane, l_discount AS share, l_tax AS confidence, l_orderkey * 10 + l_linenumber AS source_id FROM lineitem),
+r AS (SELECT l_partkey AS segment, CASE l_suppkey % 4 WHEN 0 THEN 'hpms' WHEN 1 THEN 'city' WHEN 2 THEN 'osm' ELSE 'regional' END AS source, CASE WHEN l_quantity % 7 = 0 THEN NULL ELSE CAST(l_quantity AS INT) % 6 + 1 END AS through, l_linenumber = 1 AS single_lane, l_discount AS share, l_tax AS confidence, l_orderkey * 10 + l_linenumber AS source_id FROM lineitem),
 b AS (SELECT DISTINCT ON (segment, source) * FROM r ORDER BY segment, source, share DESC NULLS LAST, confidence DESC NULLS LAST, source_id),
-w AS (SELECT segment, max(through) FILTER (source = 'hpms') AS h, max(through) FILTER (source = 'msm') AS m, max(through) FILTER (source = 'osm') AS o, max(through) FILTER (source = 'compass') AS c, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'hpms') AS hc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'msm') AS mc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'osm') AS oc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'compass') AS cc FROM b GROUP BY 1),
+w AS (SELECT segment, max(through) FILTER (source = 'hpms') AS h, max(through) FILTER (source = 'city') AS m, max(through) FILTER (source = 'osm') AS o, max(through) FILTER (source = 'regional') AS c, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'hpms') AS hc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'city') AS mc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'osm') AS oc, max(confidence * CASE WHEN single_lane THEN 0.5 ELSE 1 END) FILTER (source = 'regional') AS cc FROM b GROUP BY 1),
 k AS (SELECT seg.*, w.* EXCLUDE segment, CASE WHEN functional IN ('Interstate', 'Ramp') OR (functional IN ('Principal Arterial', 'Minor Arterial') AND rs IN ('SH', 'US', 'IN')) THEN 'state' WHEN functional IN ('Principal Arterial', 'Minor Arterial') OR m IS NOT NULL THEN 'arterial' WHEN functional IN ('Collector', 'Local') THEN 'local' ELSE 'other' END AS road_class FROM seg LEFT JOIN w USING (segment)),
 u AS (SELECT *, CASE WHEN c IS NOT NULL AND (c <> 2 OR coalesce(CASE WHEN road_class = 'state' THEN h ELSE m END = 2, false) OR coalesce(o = 2, false)) THEN c END AS cu, CASE WHEN road_class = 'state' THEN h ELSE m END AS t1 FROM k),
-s AS (SELECT *, CASE road_class WHEN 'state' THEN CASE WHEN h IS NOT NULL THEN 'hpms' WHEN o IS NOT NULL THEN 'osm' WHEN m IS NOT NULL THEN 'msm' WHEN cu IS NOT NULL THEN 'compass' END WHEN 'arterial' THEN CASE WHEN m IS NOT NULL THEN 'msm' WHEN o IS NOT NULL THEN 'osm' WHEN cu IS NOT NULL THEN 'compass' WHEN h IS NOT NULL THEN 'hpms' END
-  WHEN 'local' THEN CASE WHEN o IS NOT NULL THEN 'osm' WHEN cu IS NOT NULL THEN 'compass' ELSE 'default' END ELSE CASE WHEN o IS NOT NULL THEN 'osm' WHEN m IS NOT NULL THEN 'msm' WHEN cu IS NOT NULL THEN 'compass' WHEN h IS NOT NULL THEN 'hpms' END END AS source FROM u)
-SELECT segment, road_class, CASE source WHEN 'default' THEN CASE WHEN one_way THEN 1 ELSE 2 END WHEN 'hpms' THEN h WHEN 'msm' THEN m WHEN 'osm' THEN o WHEN 'compass' THEN cu END AS through, source, round(CASE source WHEN 'default' THEN 0.2 WHEN 'hpms' THEN hc WHEN 'msm' THEN mc WHEN 'osm' THEN oc WHEN 'compass' THEN cc END, 4) AS confidence,
-  coalesce(greatest(t1, o, cu) - least(t1, o, cu) > 1, false) AS conflict, concat_ws(',', 'hpms=' || h, 'msm=' || m, 'osm=' || o, 'compass=' || c) AS candidates FROM s""")
+s AS (SELECT *, CASE road_class WHEN 'state' THEN CASE WHEN h IS NOT NULL THEN 'hpms' WHEN o IS NOT NULL THEN 'osm' WHEN m IS NOT NULL THEN 'city' WHEN cu IS NOT NULL THEN 'regional' END WHEN 'arterial' THEN CASE WHEN m IS NOT NULL THEN 'city' WHEN o IS NOT NULL THEN 'osm' WHEN cu IS NOT NULL THEN 'regional' WHEN h IS NOT NULL THEN 'hpms' END
+  WHEN 'local' THEN CASE WHEN o IS NOT NULL THEN 'osm' WHEN cu IS NOT NULL THEN 'regional' ELSE 'default' END ELSE CASE WHEN o IS NOT NULL THEN 'osm' WHEN m IS NOT NULL THEN 'city' WHEN cu IS NOT NULL THEN 'regional' WHEN h IS NOT NULL THEN 'hpms' END END AS source FROM u)
+SELECT segment, road_class, CASE source WHEN 'default' THEN CASE WHEN one_way THEN 1 ELSE 2 END WHEN 'hpms' THEN h WHEN 'city' THEN m WHEN 'osm' THEN o WHEN 'regional' THEN cu END AS through, source, round(CASE source WHEN 'default' THEN 0.2 WHEN 'hpms' THEN hc WHEN 'city' THEN mc WHEN 'osm' THEN oc WHEN 'regional' THEN cc END, 4) AS confidence,
+  coalesce(greatest(t1, o, cu) - least(t1, o, cu) > 1, false) AS conflict, concat_ws(',', 'hpms=' || h, 'city=' || m, 'osm=' || o, 'regional=' || c) AS candidates FROM s""")
 def lanes_priority(spark, sf):
     """Parts stand in for road segments, line items for the sources' readings."""
     cls = F.element_at(F.array(*map(F.lit, ("Interstate", "Principal Arterial", "Minor Arterial", "Collector", "Local", "Alley"))), F.col("p_size") % 6 + 1)
     seg = table(spark, sf, "part").select(F.col("p_partkey").alias("segment"), cls.alias("functional"), (F.col("p_size") % 5 == 0).alias("one_way"), F.when(F.col("p_size") % 4 == 0, "SH").when(F.col("p_size") % 4 == 1, "US").otherwise("LR").alias("route_system"))
-    src = F.element_at(F.array(*map(F.lit, ("hpms", "msm", "osm", "compass"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    src = F.element_at(F.array(*map(F.lit, ("hpms", "city", "osm", "regional"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     r = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("segment"), src.alias("source"), F.when(F.col("l_quantity") % 7 != 0, F.col("l_quantity").cast("int") % 6 + 1).alias("through"), (F.col("l_linenumber") == 1).alias("single_lane"),
         F.col("l_discount").alias("share"), F.col("l_tax").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_id"))

@@ -12,11 +12,10 @@ from metrolith.operators.latest import distinct_on, latest_per_key
 
 #: Which source is asked first, by class of road, and which sources are trusted there.
 PRIORITY = {
-    "state": ("hpms", "osm", "msm", "compass"), "arterial": ("msm", "osm", "compass", "hpms"),
-    "local": ("osm", "compass"), "other": ("osm", "msm", "compass", "hpms"),
+    "state": ("hpms", "osm", "city", "regional"), "arterial": ("city", "osm", "regional", "hpms"),
+    "local": ("osm", "regional"), "other": ("osm", "city", "regional", "hpms"),
 }
-TRUSTED = {"state": ("hpms", "osm")}
-TRUSTED_ELSEWHERE = ("msm", "osm")
+TRUSTED, TRUSTED_ELSEWHERE = {"state": ("hpms", "osm")}, ("city", "osm")
 DEFAULT_CONFIDENCE, SINGLE_LANE_FACTOR = 0.2, 0.5
 
 
@@ -31,26 +30,29 @@ def resolve_lanes(segments: DataFrame, readings: DataFrame) -> DataFrame:
     """One row for each segment: through lanes, where they come from, confidence, conflict and all candidates.
 
     segments: segment, functional, one_way, route_system. readings: segment, source, through, single_lane, share,
-    confidence, source_id. Each source's best match by share counts. COMPASS's 2, mostly a default, counts only where a
+    confidence, source_id. Each source's best match by share counts. The regional source's 2, mostly a default, counts only where a
     trusted source says 2 as well. Local streets without a source are taken as 1 + 1. Trusted sources and a usable
-    COMPASS that differ by more than one lane are in conflict.
+    regional source that differ by more than one lane are in conflict.
     """
     best = distinct_on(readings, ["segment", "source"], [F.desc_nulls_last("share"), F.desc_nulls_last("confidence"), F.col("source_id")])
-    names = ("hpms", "msm", "osm", "compass")
+    names = ("hpms", "city", "osm", "regional")
     sides = [F.max(F.when(F.col("source") == n, F.struct("through", "single_lane", "confidence"))).alias(n) for n in names]
     s = segments.join(best.groupBy("segment").agg(*sides), "segment", "left")
-    s = s.withColumn("road_class", road_class(F.col("functional"), F.col("route_system"), F.col("msm.through")))
-    trusted = F.when(F.col("road_class") == "state", F.array("hpms.through", "osm.through")).otherwise(F.array("msm.through", "osm.through"))
+    s = s.withColumn("road_class", road_class(F.col("functional"), F.col("route_system"), F.col("city.through")))
+    said = lambda of: F.array(*[F.col(f"{n}.through") for n in of])
+    trusted = said(TRUSTED_ELSEWHERE)
+    for cls, of in TRUSTED.items():
+        trusted = F.when(F.col("road_class") == cls, said(of)).otherwise(trusted)
     s = s.withColumn("trusted", F.array_compact(trusted))
-    usable = F.col("compass.through").isNotNull() & ((F.col("compass.through") != 2) | F.array_contains("trusted", 2))
-    through = {n: F.col(f"{n}.through") if n != "compass" else F.when(usable, F.col("compass.through")) for n in names}
+    usable = F.col("regional.through").isNotNull() & ((F.col("regional.through") != 2) | F.array_contains("trusted", 2))
+    through = {n: F.col(f"{n}.through") if n != "regional" else F.when(usable, F.col("regional.through")) for n in names}
     source = F.lit(None).cast("string")
     for cls, order in PRIORITY.items():
         first = F.coalesce(*[F.when(through[n].isNotNull(), F.lit(n)) for n in order], *([F.lit("default")] if cls == "local" else []))
         source = F.when(F.col("road_class") == cls, first).otherwise(source)
     s = s.withColumn("source", source)
     pick = lambda f: F.coalesce(*[F.when(F.col("source") == n, f(n)) for n in names])
-    say = F.array_compact(F.concat("trusted", F.array(through["compass"])))
+    say = F.array_compact(F.concat("trusted", F.array(through["regional"])))
     conf = pick(lambda n: F.col(f"{n}.confidence") * F.when(F.col(f"{n}.single_lane"), SINGLE_LANE_FACTOR).otherwise(1.0))
     return s.select(
         "segment", "road_class", F.when(F.col("source") == "default", F.when(F.col("one_way"), 1).otherwise(2)).otherwise(pick(lambda n: through[n])).alias("through"),
