@@ -189,3 +189,13 @@ def coverage(targets: DataFrame, matches: DataFrame, source: str, target: str =
     m = targets.select(target, source).join(matches.select(target, F.lit(1).alias("_m")), target, "left")
     c = m.groupBy(source).agg(F.countDistinct(target).alias("lines"), F.countDistinct(F.when(F.col("_m") == 1, F.col(target))).alias("matched"), F.count("_m").alias("matches"))
     return c.withColumn("covered", F.col("matched") / F.col("lines"))
+
+
+def nearest_in_turn(left: DataFrame, right: DataFrame, tries: Sequence[tuple[float, Column | None]], left_id: str, tie: Sequence[str]) -> DataFrame:
+    """Each left row's nearest by the first of the tries (radius, condition) that finds one; `try` numbers it."""
+    rest, out = left, None
+    for i, (radius, accept) in enumerate(tries):
+        found = nearest_within(rest, right, radius, [left_id], tie, accept).withColumn("try", F.lit(i))
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select(left_id), left_id, "left_anti")
+    return out

@@ -109,3 +109,29 @@ def map_match(fixes: DataFrame, shapes: pd.DataFrame, near_m: float = 40.0, gap_
         return pd.DataFrame(out, columns=["vehicle", "ts", "shape", "m", "off"])
 
     return fixes.select("vehicle", "ts", "x", "y").groupBy("vehicle").applyInPandas(chain, MATCHED)
+
+
+def provisional_routes(fixes: DataFrame, vehicle: str, trip: str, at: str, step_in: str, near: str, needed: int = 4) -> DataFrame:
+    """Fixes with a route for trips that no source names: from the fix on at which the last `needed` fixes that came along
+    a shape were each near one route alone, and the same. A gap starts the count anew.
+
+    near: an array of the routes near a fix; step_in: the kind of the step that led to it.
+    """
+    w = Window.partitionBy(vehicle, trip).orderBy(at)
+    f = fixes.withColumn("_run", F.sum((F.coalesce(F.col(step_in), F.lit("")) == "gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.when(F.size(near) == 1, F.get(near, F.lit(0)))
+    last = Window.partitionBy(vehicle, trip, "_run").orderBy(at).rowsBetween(1 - needed, 0)
+    along = f.where(F.col(step_in) == "along").withColumn("_one", one)
+    along = along.withColumn("_sure", (F.count("_one").over(last) == needed) & (F.min("_one").over(last) == F.max("_one").over(last)))
+    found = along.where("_sure").groupBy(vehicle, trip, "_run").agg(F.min_by("_one", at).alias("_route"), F.min(at).alias("_from"))
+    out = f.join(found, [vehicle, trip, "_run"], "left").withColumn("route", F.when(F.col(at) >= F.col("_from"), F.col("_route")))
+    return out.drop("_run", "_route", "_from")
+
+
+def reprocess(rows: DataFrame, changed: DataFrame, key: str, at: str, again) -> DataFrame:
+    """Rows after a dimension changed: of each changed key (key, since) the rows from `since` on are made anew by `again`,
+    which gets them in one table; all others stay."""
+    c = changed.groupBy(F.col(key).alias("_key")).agg(F.min("since").alias("_since"))
+    j = rows.join(c, rows[key] == F.col("_key"), "left")
+    redo = F.col("_since").isNotNull() & (F.col(at) >= F.col("_since"))
+    return j.where(~redo).drop("_key", "_since").unionByName(again(j.where(redo).drop("_key", "_since")))

@@ -183,3 +183,26 @@ def test_latest(spark):
     assert [x.r for x in df.orderBy(*latest.natural_order("r")).collect()][:2] == ["2", "10"]
     rows = spark.createDataFrame([(1, i, i == 0) for i in range(5)], "k int, t int, keep boolean")
     assert sorted(x.t for x in latest.prune_newest(rows, ["k"], [F.desc("t")], 2, F.col("keep")).collect()) == [0, 3, 4]
+
+
+def test_provisional_routes(spark):
+    steps = ["along", "along", "still", "along", "along", "along", "gap", "along", "along", "along", "along"]
+    near = [["a"], ["a", "b"], ["a"], ["a"], ["a"], ["a"], ["a"], ["b"], ["b"], ["b"], ["b"]]
+    df = spark.createDataFrame([("v", "t", i, s, n) for i, (s, n) in enumerate(zip(steps, near))], "v string, trip string, i int, step string, near array<string>")
+    got = [r["route"] for r in transit.provisional_routes(df, "v", "trip", "i", "step", "near").orderBy("i").collect()]
+    assert got == [None] * 10 + ["b"]
+    got = [r["route"] for r in transit.provisional_routes(df, "v", "trip", "i", "step", "near", 3).orderBy("i").collect()]
+    assert got == [None] * 5 + ["a"] + [None] * 3 + ["b", "b"]
+
+
+def test_reprocess(spark):
+    rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "old"), ("b", 2, "old")], "k string, t int, v string")
+    got = transit.reprocess(rows, spark.createDataFrame([("a", 2)], "k string, since int"), "k", "t", lambda df: df.withColumn("v", F.lit("new")))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "old"), ("a", 2, "new"), ("b", 2, "old")]
+
+
+def test_nearest_in_turn(spark):
+    cams = spark.createDataFrame([(1, 0.0, 0.0, "Main"), (2, 100.0, 0.0, "Oak"), (3, 900.0, 0.0, "Elm")], "id int, x double, y double, street string")
+    places = spark.createDataFrame([(10, 5.0, 0.0, "Oak"), (11, 30.0, 0.0, "Main"), (12, 130.0, 0.0, "Pine")], "id int, x double, y double, street string")
+    got = spatial.nearest_in_turn(cams, places, [(80.0, F.col("street") == F.col("r_street")), (50.0, None)], "id", ["r_id"]).collect()
+    assert {r.id: (r.r_id, r["try"]) for r in got} == {1: (11, 0), 2: (12, 1)}
