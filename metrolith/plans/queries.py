@@ -191,7 +191,7 @@ def republish_check(spark, sf):
     return records.is_republish(*_editions(spark, sf))
 
 
-@query("""SELECT item, owners, claimed_by FROM (SELECT k AS item, count(DISTINCT o) AS owners, array_to_string(list(DISTINCT o ORDER BY o) FILTER (o IS NOT NULL), ',') AS claimed_by FROM (
+@query("""SELECT item, owners, claimed_by FROM (SELECT k AS item, count(DISTINCT o) AS owners, coalesce(array_to_string(list(DISTINCT o ORDER BY o) FILTER (o IS NOT NULL), ','), '') AS claimed_by FROM (
   SELECT c_nationkey AS k, 'customer' AS o FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT s_nationkey, 'supplier' FROM supplier UNION ALL SELECT n_nationkey, NULL FROM nation) GROUP BY 1) WHERE owners <> 1""")
 def union_ownership(spark, sf):
     c = table(spark, sf, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("item"), F.lit("customer").alias("owner"))
