@@ -153,9 +153,11 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, doc_id: str = "doc
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices (i, j), i < j, of values of one group that differ in at most `radius` bits; rows are sorted by group.
 
+    They come some at a time, so that a group of many close values takes no more memory than one of few.
+
     Values are 64-bit words, or rows of several. Bit planes are stored vertically: word b of plane p has bit p of values
     64b..64b+63. Each query runs down the planes of every block that holds later members of its group, and carry-save
     counters add up 64 distances at once. What leaves the counters is above the radius for good; a block is abandoned
@@ -173,9 +175,8 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.
     queries = np.flatnonzero(end_of > np.arange(n) + 1)
     first, last = (queries + 1) // 64, (end_of[queries] - 1) // 64
     per = last - first + 1
-    heads, tails = [], []
     depth = max(1, int(radius + 1).bit_length())
-    step = 1 << 17
+    step = 1 << 15
     bounds = np.searchsorted(np.cumsum(per), np.arange(step, int(per.sum()) + step, step), "left") + 1
     for some in np.split(np.arange(len(queries)), bounds[bounds < len(queries)]):
         if not len(some):
@@ -217,11 +218,18 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.
         if len(q):
             hits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, lane = np.nonzero(hits)
-            heads.append(q[row])
-            tails.append(64 * b[row] + lane)
-    if not heads:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(heads), np.concatenate(tails)
+            yield q[row], 64 * b[row] + lane
+
+
+def linked(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For each value the smallest index that it reaches by close pairs."""
+    root = np.arange(len(values))
+    for i, j in close_pairs(values, group, radius):
+        a, b = root[i], root[j]
+        apart = a != b
+        if apart.any():
+            root = _spanning(len(values), a[apart], b[apart])[root]
+    return root
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -299,8 +307,7 @@ def _compare(sized: DataFrame, radius: int) -> DataFrame:
             mask, part, fp = rows
             new = (np.diff(mask) != 0) | (np.diff(part) != 0)
             group = np.concatenate([[0], np.cumsum(new)]) if len(fp) else np.zeros(0, np.int64)
-            i, j = close_pairs(fp.view(np.uint64), group, radius)
-            root = _spanning(len(fp), i, j)
+            root = linked(fp.view(np.uint64), group, radius)
             tied = np.flatnonzero(root != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[root[tied]])], names=["a", "b"])
 
@@ -445,8 +452,7 @@ def _compare_wide(sized: DataFrame, names: list[str], radius: int) -> DataFrame:
         def compared(rows: np.ndarray) -> pa.RecordBatch:
             new = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
             group = np.concatenate([[0], np.cumsum(new)])
-            i, j = close_pairs(np.ascontiguousarray(rows[3:].T).view(np.uint64), group, radius)
-            root = _spanning(rows.shape[1], i, j)
+            root = linked(np.ascontiguousarray(rows[3:].T).view(np.uint64), group, radius)
             tied = np.flatnonzero(root != np.arange(rows.shape[1]))
             return pa.RecordBatch.from_arrays([pa.array(rows[2][tied]), pa.array(rows[2][root[tied]])], names=["a", "b"])
 

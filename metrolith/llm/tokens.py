@@ -9,7 +9,7 @@ from functools import lru_cache
 from itertools import chain
 
 #: Words whose ids a Python worker keeps; beyond that it starts anew, so memory stays bounded.
-MOST_WORDS = 700_000
+MOST_WORDS = 400_000
 #: Fixed value: the pattern by which byte-level BPE cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space for Python's \s, but ordinary characters for the pattern.

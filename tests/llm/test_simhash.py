@@ -30,8 +30,7 @@ def test_close_pairs_match_brute_force():
     centres = r.integers(0, 2**63, 9, dtype=np.uint64)
     values = np.unique(np.concatenate([c ^ (np.uint64(1) << r.integers(0, 64, 40, dtype=np.uint64)) for c in centres] + [centres, r.integers(0, 2**63, 200, dtype=np.uint64)]))
     group = np.sort(r.integers(0, 4, len(values)))
-    i, j = simhash.close_pairs(values, group, 2)
-    found = set(zip(i.tolist(), j.tolist()))
+    found = {p for i, j in simhash.close_pairs(values, group, 2) for p in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if group[a] == group[b] and int(values[a] ^ values[b]).bit_count() <= 2}
     assert found == want and want
 
