@@ -1,51 +1,49 @@
 """Language-model scoring: cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary, that of hashed lower-cased words, with one smoothing.
+Both models are interpolated bigram models over one vocabulary, that of lower-cased words, with one smoothing.
 The background's counts, from the whole corpus, are matched to the target's mass, so that the models differ in what
 they saw and not in how much. A document's score is its mean loss per token under the target model less that under the
 background model: the lower, the more like the target.
 
-Counts lie in tables of a fixed number of cells (2^word_bits, 2^pair_bits): words that share a cell share their
-counts. So what is broadcast is bounded, whatever the corpus, while every document of the corpus is counted.
+Counts are exact, by 64-bit hashes of words and pairs, and grow with the corpus:
+
+1. Texts are dealt into chunks of a bounded number of tokens, kept as places in a chunk's own list of words.
+2. Each chunk sends its distinct words and pairs with their counts, already added up, to buckets by the hashes' first bits.
+3. A bucket adds up what came for each hash, and answers each chunk with the totals, in the order in which it was asked.
+4. A chunk meets its answers, which hold all that its own documents need. No task and no driver holds a whole model.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.io import stored
 from metrolith.llm.substring import _BYTES, _mix, _ranges
 
-WORD_BITS, PAIR_BITS = 18, 21
-#: Cells that travel as one row.
-CHUNK = 1 << 13
+#: The smoothing takes the vocabulary to have 2^WORD_BITS words at least.
+WORD_BITS = 18
+#: Tokens of a chunk, beyond which the next one begins, and the least number of buckets.
+CHUNK_TOKENS, LEAST_BUCKETS = 2_000_000, 256
 SLICE = 4 << 20
 
 
-def token_cells(texts: list[bytes], word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cell of each word, cell of the word before, cell of the pair, counts by text); before the first word stands cell 0."""
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words by text)."""
     joined = [b" ".join(t.lower().split()) for t in texts]
     counts = np.fromiter((j.count(b" ") + 1 if j else 0 for j in joined), np.int64, len(joined))
     data = np.frombuffer(b" ".join([j for j in joined if j]), np.uint8)
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none, counts
+        return np.zeros(0, np.uint64), counts
     spaces = np.flatnonzero(data == 32)
     h = _ranges(data.astype(np.uint64), np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]]), _BYTES)
-    word = (h >> np.uint64(64 - word_bits)).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(counts[counts > 0])])[:-1]
-    before_h = np.concatenate([[np.uint64(0)], h[:-1]])
-    before_h[first] = 0
-    before = (before_h >> np.uint64(64 - word_bits)).astype(np.int64)
-    pair = (_mix(h + before_h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - pair_bits)).astype(np.int64)
-    return word, before, pair, counts
+    return h, counts
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -57,118 +55,171 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             lo, size = i + 1, 0
 
 
-@dataclass(frozen=True)
-class Model:
-    """Counts by cell: words, words that stand before another, pairs; scaled to a common mass."""
+def _pack(a: np.ndarray) -> bytes:
+    """Byte by byte, so that the high bytes of small numbers stand together."""
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
 
-    words: np.ndarray
-    befores: np.ndarray
-    pairs: np.ndarray
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, strength: float) -> np.ndarray:
-        """-log2 p of each token: the pair's count, with `strength` times the smoothed word probability added."""
-        unigram = (self.words[word] + 1.0) / (float(self.words.sum(dtype=np.float64)) + len(self.words))
-        return -np.log2((self.pairs[pair] + strength * unigram) / (self.befores[before] + strength))
+def _unpack(packed: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-def count(docs: DataFrame, is_target: Column, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, text: str = "text") -> tuple[Model, Model]:
-    """(target, background): counts over every row of docs, and over those of the target.
+CHUNK = "chunk long, doc_ids array<long>, targets array<boolean>, sizes array<long>, words binary, tokens binary, n long, n_target long, starts long, starts_target long"
 
-    Each task adds up its own rows and sends chunks of its tables, packed; chunks are added up one by one as they
-    come, so no task holds more than one chunk and what has come last.
-    """
-    sizes = [1 << word_bits, 1 << word_bits, 1 << pair_bits]
-    d = docs.select(F.coalesce(is_target, F.lit(False)).alias("t"), F.col(text).cast("string").alias("text"))
+
+def _chunks(marked: DataFrame) -> DataFrame:
+    """A row for each chunk of (doc_id, is target, text): its documents, its words by falling count, and its tokens by place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, n), np.uint32) for n in sizes]
+        task, made = TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def whole() -> pa.RecordBatch:
+            ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
+            target, sizes, h = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            words, at, times = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            row = {
+                "chunk": (task << 32) + made, "doc_ids": ids.to_pylist(), "targets": target.tolist(), "sizes": sizes.tolist(),
+                "words": _pack(np.diff(words[order], prepend=np.uint64(0))), "tokens": _pack(place[at]), "n": len(h),
+                "n_target": int(sizes[target].sum()), "starts": int((sizes > 0).sum()), "starts_target": int((sizes[target] > 0).sum()),
+            }
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row.values(), kinds)], names=list(row))
+
         for batch in batches:
-            targets = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            targets = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for lo, hi in _slices(texts):
-                *cells, n = token_cells(texts[lo:hi], word_bits, pair_bits)
-                on = np.repeat(targets[lo:hi], n)
-                for s, c in zip(sums, (cells[0], cells[1], cells[2])):
-                    s[0] += np.bincount(c, minlength=s.shape[1]).astype(np.uint32)
-                    s[1] += np.bincount(c[on], minlength=s.shape[1]).astype(np.uint32)
-        out = []
-        for kind, s in enumerate(sums):
-            for side in (0, 1):
-                for k, lo in enumerate(range(0, s.shape[1], CHUNK)):
-                    part = s[side, lo : lo + CHUNK]
-                    if part.any():
-                        out.append((kind, side, k, zlib.compress(part.astype("<u8").tobytes(), 1)))
-        for lo in range(0, len(out), 64):
-            yield _rows(out[lo : lo + 64])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = None, None
+                h, sizes = token_hashes(texts[lo:hi])
+                held.append((batch.column(0).slice(lo, hi - lo), targets[lo:hi], sizes, h))
+                if sum(len(x[3]) for x in held) >= CHUNK_TOKENS:
+                    yield whole()
+                    held, made = [], made + 1
+        if held:
+            yield whole()
+
+    return marked.mapInArrow(run, CHUNK)
+
+
+class _Grams:
+    """What a chunk knows of its words and pairs; the same whenever it is read."""
+
+    def __init__(self, words: bytes, tokens: bytes, sizes: np.ndarray):
+        self.hashes = np.cumsum(_unpack(words, "<u8"), dtype=np.uint64)
+        self.token = _unpack(tokens, "<u4").astype(np.int64)
+        n = len(self.hashes)
+        before = np.concatenate([[n], self.token[:-1]])[: len(self.token)]
+        ends = np.cumsum(sizes)
+        before[(ends - sizes)[sizes > 0]] = n  # before the first word stands a mark
+        self.before = before
+        pairs, self.pair = np.unique(before * (n + 1) + self.token, return_inverse=True)
+        self.pair_before, self.pair_word = pairs // (n + 1), pairs % (n + 1)
+        before_hash = np.concatenate([self.hashes, np.zeros(1, np.uint64)])[self.pair_before]
+        pair_hash = _mix(self.hashes[self.pair_word] + before_hash * np.uint64(0x9E3779B97F4A7C15))
+        # The last bit tells words (0) from pairs (1).
+        keys = np.concatenate([_mix(self.hashes) & ~np.uint64(1), pair_hash | np.uint64(1)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counts(self, on: np.ndarray) -> np.ndarray:
+        """By key: times seen, times seen in the target, and for words the times before another, and those in the target."""
+        n, m = len(self.hashes), len(self.pair_word)
+        out = np.zeros((4, n + m), np.uint32)
+        for side, some in ((0, slice(None)), (1, on)):
+            out[side, :n] = np.bincount(self.token[some], minlength=n)
+            out[side, n:] = np.bincount(self.pair[some], minlength=m)
+            out[side + 2, :n] = np.bincount(self.before[some], minlength=n + 1)[:n]
+        return out[:, self.order]
+
+
+def _asked(chunks: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for kind, side, k, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(packed), "<u8")
-                if (kind, side, k) != of:
-                    if of is not None:
-                        out.append((*of, zlib.compress(total.tobytes(), 1)))
-                    of, total = (kind, side, k), part.copy()
-                else:
-                    total += part
-            yield _rows(out)
-        if of is not None:
-            yield _rows([(*of, zlib.compress(total.tobytes(), 1))])
-
-    schema = "kind int, side int, chunk int, packed binary"
-    parts = d.mapInArrow(run, schema).repartition("kind", "side", "chunk").sortWithinPartitions("kind", "side", "chunk")
-    parts = stored(parts.mapInArrow(added, schema))
-    tables = [[np.zeros(n, np.float64) for n in sizes] for _ in range(2)]
-    for row in parts.toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row["packed"]), "<u8")
-        tables[row["side"]][row["kind"]][row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
-    every, target = tables
-    share = target[0].sum() / max(every[0].sum(), 1.0)  # matched mass
-    return Model(*(t.astype(np.float32) for t in target)), Model(*((t * share).astype(np.float32) for t in every))
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out)) if out else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "side", "chunk", "packed"])
-
-
-def score(docs: DataFrame, target: Model, background: Model, strength: float = 2.0, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS,
-          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses in bits per token, and their difference.
+            for k in range(batch.num_rows):
+                chunk, targets, sizes, words, tokens = (batch.column(i)[k].as_py() for i in range(5))
+                sizes = np.array(sizes, np.int64)
+                g = _Grams(words, tokens, sizes)
+                counts = g.counts(np.repeat(np.array(targets, bool), sizes))
+                bucket = (g.keys >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else []
+                out = [(int(bucket[lo]), chunk, _pack(np.diff(g.keys[lo:hi], prepend=np.uint64(0))), _pack(counts[:, lo:hi].reshape(-1))) for lo, hi in zip(cuts, cuts[1:])]
+                for lo in range(0, len(out), 64):
+                    columns = zip(*out[lo : lo + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
+
+    return chunks.select("chunk", "targets", "sizes", "words", "tokens").mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Totals over all chunks for what each asked, and (once for a bucket) the number of its distinct words."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(k) for k in keys])
+        counts = [_unpack(x, "<u4").reshape(4, -1) for x in rows["counts"].to_pylist()]
+        totals = np.zeros((4, len(distinct)), np.uint64)
+        for i in range(4):
+            # Sums in float64 are exact up to 2^53.
+            totals[i] = np.bincount(at, np.concatenate([c[i] for c in counts]), len(distinct)).astype(np.uint64)
+        packed = [_pack(np.ascontiguousarray(totals[:, at[hi - len(k) : hi]]).reshape(-1)) for k, hi in zip(keys, ends)]
+        words = [int((distinct & np.uint64(1) == 0).sum())] + [0] * (len(keys) - 1)
+        return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "totals": pa.array(packed, pa.binary()), "words": pa.array(words, pa.int64())})
+
+    return asked.groupBy("bucket").applyInArrow(add, "bucket int, chunk long, totals binary, words long")
+
+
+def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of (doc_id, is target, text): mean losses in bits per token,
+    and their difference.
 
     Null and empty texts have no tokens and zeros. Null doc_ids and repeated rows keep their rows. Very long texts are
-    scored whole. Empty tables give empty results; other columns are ignored.
+    scored whole. Empty tables give empty results.
     """
-    models = docs.sparkSession.sparkContext.broadcast((target, background))  # a fixed size: see the module
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, b = models.value
-        for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in _slices(texts):
-                word, before, pair, n = token_cells(texts[lo:hi], word_bits, pair_bits)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                means = []
-                for m in (t, b):
-                    sums = np.concatenate([[0.0], np.cumsum(m.losses(word, before, pair, strength))])
-                    means.append((sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
+    chunks = stored(_chunks(marked))
+    known = chunks.agg(F.count("*").alias("chunks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target", "starts", "starts_target")]).first()
+    bits = (max(LEAST_BUCKETS, known["chunks"] // 2) - 1).bit_length()
+    answers = stored(_answered(_asked(chunks, bits)))
+    vocabulary = max(1 << word_bits, (answers.agg(F.sum("words")).first()[0] or 0) + 1)
+    mass, starts = (known["n"], known["n_target"]), (known["starts"], known["starts_target"])
+    share = mass[1] / max(mass[0], 1)  # matched mass
+
+    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        out = []
+        by_bucket = [_unpack(x, "<u8").reshape(4, -1) for x in totals.sort_by("bucket")["totals"].to_pylist()]
+        for row in docs.to_pylist():
+            sizes = np.array(row["sizes"], np.int64)
+            g = _Grams(row["words"], row["tokens"], sizes)
+            total = np.zeros((4, len(g.keys)))
+            if by_bucket:
+                total[:, g.order] = np.concatenate(by_bucket, axis=1)
+            n, ends, means = len(g.hashes), np.concatenate([[0], np.cumsum(sizes)]), []
+            for side, scale in ((1, 1.0), (0, share)):
+                unigram = (total[side, :n] * scale + 1.0) / (mass[side] * scale + vocabulary)
+                before = np.append(total[side + 2, :n], starts[side]) * scale
+                loss = -np.log2((total[side, n:] * scale + strength * unigram[g.pair_word]) / (before[g.pair_before] + strength))
+                sums = np.concatenate([[0.0], np.cumsum(loss[g.pair])])
+                means.append((sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(sizes, 1))
+            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": sizes, "target_loss": means[0], "background_loss": means[1], "score": means[0] - means[1]}))
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "score"))])
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    docs = chunks.select("chunk", "doc_ids", "sizes", "words", "tokens").groupBy("chunk")
+    return docs.cogroup(answers.select("chunk", "bucket", "totals").groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """score() of every row, with the rows whose id is in the one column of target_ids as the target.
 
-    Without any target row the target model knows no counts, so its probabilities are all equal.
+    Without any target row the target model knows no counts, so its probabilities are all equal. Other columns are ignored.
     """
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("_target_id")).where("_target_id is not null").distinct()
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Ids grow with the corpus: the join is one by sorting at every size, and texts are dealt out once.
-    marked = docs.select(F.col(doc_id).alias("doc_id"), "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left")
-    target, background = count(marked, F.col("_target_id").isNotNull())
-    return score(docs, target, background, doc_id=doc_id, **kw)
+    marked = d.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left")
+    return score(marked.select("doc_id", F.col("_target_id").isNotNull().alias("target"), "text"), **kw)

@@ -53,3 +53,21 @@ def test_empty(spark):
     assert lm.cross_entropy_difference(docs, docs.select("doc_id")).collect() == []
     docs = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert lm.cross_entropy_difference(docs, docs.select(F.lit(None).cast("long"))).count() == 2
+
+
+def test_counts_stay_exact_past_any_table(spark, monkeypatch):
+    """More distinct pairs than the 2^21 cells that once held them: a pair seen once still counts as seen once."""
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 300_000)
+    n, width = 2400, 1000
+    docs = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(0, {width - 1}), j -> concat('w', id * {width} + j)), ' ')").alias("text"))
+    got = lm.cross_entropy_difference(docs, docs.where("doc_id % 2 = 0").select("doc_id")).collect()
+    vocabulary, mass, strength = n * width + 1, n * width / 2, 2.0
+    assert len(got) == n
+
+    def loss(once, starts):
+        p = strength * (once + 1) / (mass + vocabulary)
+        return -(math.log2((once + p) / (starts + strength)) + (width - 1) * math.log2((once + p) / (once + strength))) / width
+
+    for x in got:
+        assert x.background_loss == pytest.approx(loss(0.5, n / 2), abs=1e-9)
+        assert x.target_loss == pytest.approx(loss(1.0 if x.doc_id % 2 == 0 else 0.0, n / 2), abs=1e-9)
