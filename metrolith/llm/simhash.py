@@ -153,10 +153,11 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, doc_id: str = "doc
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(values: np.ndarray, group: np.ndarray, radius: int, begin: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices (i, j), i < j, of values of one group that differ in at most `radius` bits; rows are sorted by group.
 
-    They come some at a time, so that a group of many close values takes no more memory than one of few.
+    They come some at a time, so that a group of many close values takes no more memory than one of few. With `begin`,
+    value i is compared with those from begin[i] on, and not with all later ones.
 
     Values are 64-bit words, or rows of several. Bit planes are stored vertically: word b of plane p has bit p of values
     64b..64b+63. Each query runs down the planes of every block that holds later members of its group, and carry-save
@@ -172,8 +173,9 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[
     planes = np.ascontiguousarray(planes).view(np.uint64).reshape(width, blocks)
     ends = np.concatenate([np.flatnonzero(np.diff(group)) + 1, [n]])
     end_of = ends[np.searchsorted(ends, np.arange(n), "right")] if n else ends
-    queries = np.flatnonzero(end_of > np.arange(n) + 1)
-    first, last = (queries + 1) // 64, (end_of[queries] - 1) // 64
+    begin = np.arange(1, n + 1) if begin is None else begin
+    queries = np.flatnonzero(end_of > begin)
+    first, last = begin[queries] // 64, (end_of[queries] - 1) // 64
     per = last - first + 1
     depth = max(1, int(radius + 1).bit_length())
     step = 1 << 15
@@ -184,7 +186,7 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[
         q = np.repeat(queries[some], per[some])
         within = np.arange(len(q)) - np.repeat(np.concatenate([[0], np.cumsum(per[some])])[:-1], per[some])
         b = np.repeat(first[some], per[some]) + within
-        lo = np.clip(q + 1 - 64 * b, 0, 64)
+        lo = np.clip(begin[q] - 64 * b, 0, 64)
         hi = np.clip(end_of[q] - 64 * b, 0, 64)
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         upto = lambda x: np.where(x >= 64, full, (np.uint64(1) << (x % 64).astype(np.uint64)) - np.uint64(1))
@@ -221,10 +223,10 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[
             yield q[row], 64 * b[row] + lane
 
 
-def linked(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+def linked(values: np.ndarray, group: np.ndarray, radius: int, begin: np.ndarray | None = None) -> np.ndarray:
     """For each value the smallest index that it reaches by close pairs."""
     root = np.arange(len(values))
-    for i, j in close_pairs(values, group, radius):
+    for i, j in close_pairs(values, group, radius, begin):
         a, b = root[i], root[j]
         apart = a != b
         if apart.any():
@@ -382,8 +384,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
     That radius is too wide for the exact buckets of near_duplicates(). Here each of `tables` tables keys its buckets by
     key_bits sampled bits; members of a bucket are compared bit-sliced, as there. A pair at the radius' mean shares a
     bucket of some table with a probability of 97 percent or more, a closer one of nearly 1; key_bits should grow with the logarithm
-    of the number of documents, and tables with it. Buckets of more than `most` are keyed by more bits, in all of which
-    near copies mostly agree; at the last level they are compared whatever their size.
+    of the number of documents, and tables with it. Buckets of more than `most` are keyed by more bits first, in all of
+    which near copies mostly agree; then what does not hang together yet in such a bucket is compared all the same, in
+    pairs of blocks. So the size of a bucket does not decide which of its members are grouped.
 
     Nulls, empty texts, repeated rows and empty tables are as in near_duplicates().
     """
@@ -426,18 +429,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
 
     schema = "mask int, part long, node long, " + fp_schema
     members = low.select("node", *names).mapInArrow(keyed, schema)
-    found, bits = None, key_bits
+    found, bits, large = None, key_bits, None
     for level in range(LEVELS):
         sizes = cut(members.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"))
         sized = members.join(sizes, ["mask", "part"])
-        last = level == LEVELS - 1
-        now = _compare_wide(sized if last else sized.where(F.col("n") <= most), names, radius)
+        now = _compare_wide(sized.where(F.col("n") <= most), names, radius)
         found = now if found is None else found.union(now)
-        if last or not sizes.where(F.col("n") > most).limit(1).count():
+        if level == LEVELS - 1 or not sizes.where(F.col("n") > most).limit(1).count():
             break
         bits += MORE_BITS
-        members = stored(sized.where(F.col("n") > most).select("mask", "node", *names).mapInArrow(longer(bits), schema))
+        over = stored(sized.where(F.col("n") > most).select("mask", "part", "node", *names))
+        large = over if large is None else large
+        members = over.drop("part").mapInArrow(longer(bits), schema)
     ties = cut(connected_components(cut(found.distinct())))
+    if large is not None:
+        more = cut(_compare_wide(_block_pairs(large, ties, names, most), names, radius, blocks=True).distinct())
+        ties = cut(connected_components(ties.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     of = low.join(ties, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     of = cut(of)
     least = cut(of.groupBy("component").agg(F.min("low").alias("component_id")))
@@ -445,21 +452,57 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
     return fps.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
 
 
-def _compare_wide(sized: DataFrame, names: list[str], radius: int) -> DataFrame:
+def _block_pairs(large: DataFrame, ties: DataFrame, names: list[str], most: int) -> DataFrame:
+    """Members of large buckets, once for each pair (i, j) of blocks that they are compared in; `side` 1 is the block j.
+
+    The members of a bucket's largest component hang together already: they are not compared with each other, but the
+    rest are with all. Blocks, dealt by hash, have about `most` members, so a bucket's pairs are spread over tasks.
+    """
+    m = stored(large.join(ties, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = cut(m.groupBy("mask", "part", "component").agg(F.count("*").alias("n")))
+    sizes = sizes.groupBy("mask", "part").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    sizes = sizes.select("mask", "part", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("tops")).where("rest > 0")
+    m = m.join(cut(sizes), ["mask", "part"])
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    m = m.withColumn("block", F.when(F.col("component") == F.col("top"), F.col("rest") + dealt("tops")).otherwise(dealt("rest")))
+    first = F.transform(F.sequence(F.lit(0), F.least(F.col("block"), F.col("rest") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), (i != F.col("block")).cast("int").alias("side")))
+    # As the first of a pair; the pair of a block with itself is there already.
+    later = F.when(F.col("block") < F.col("rest"), F.transform(F.sequence(F.col("block") + 1, F.col("rest") + F.col("tops") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.expr("array()"))
+    return m.select("mask", "part", "node", *names, F.explode(F.concat(first, later)).alias("pair")).select("mask", "part", "node", *names, "pair.i", "pair.j", "pair.side")
+
+
+def _compare_wide(sized: DataFrame, names: list[str], radius: int, blocks: bool = False) -> DataFrame:
+    """(a, b): links within each bucket; with `blocks`, within each pair of blocks, between its sides or in the one block."""
+    by = ["mask", "part", *(["i", "j"] if blocks else [])]
+    rest = [*(["side"] if blocks else []), "node"]
+    at = len(by) + len(rest)
+
+    def changes(rows: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((np.diff(rows[: len(by)], axis=1) != 0).any(axis=0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def compared(rows: np.ndarray) -> pa.RecordBatch:
-            new = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
-            group = np.concatenate([[0], np.cumsum(new)])
-            root = linked(np.ascontiguousarray(rows[3:].T).view(np.uint64), group, radius)
-            tied = np.flatnonzero(root != np.arange(rows.shape[1]))
-            return pa.RecordBatch.from_arrays([pa.array(rows[2][tied]), pa.array(rows[2][root[tied]])], names=["a", "b"])
+            n = rows.shape[1]
+            starts = np.concatenate([[0], changes(rows) + 1])
+            sizes = np.diff(np.append(starts, n))
+            group, begin = np.repeat(np.arange(len(starts)), sizes), None
+            if blocks:
+                # Between two blocks, the first's members meet the second's, which come after them, and those meet none.
+                ones = np.add.reduceat(rows[at - 2], starts)
+                split = starts + sizes - ones
+                two = np.repeat(rows[2, starts] != rows[3, starts], sizes)
+                begin = np.where(two, np.where(rows[at - 2] == 1, n, np.repeat(split, sizes)), np.arange(1, n + 1))
+            root = linked(np.ascontiguousarray(rows[at:].T).view(np.uint64), group, radius, begin)
+            tied = np.flatnonzero(root != np.arange(n))
+            return pa.RecordBatch.from_arrays([pa.array(rows[at - 1][tied]), pa.array(rows[at - 1][root[tied]])], names=["a", "b"])
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             rows = np.concatenate([*held, rows], axis=1) if held else rows
-            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
+            change = changes(rows)
             whole = int(change[-1]) + 1 if len(change) else 0
             if whole:
                 yield compared(rows[:, :whole])
@@ -467,5 +510,5 @@ def _compare_wide(sized: DataFrame, names: list[str], radius: int) -> DataFrame:
         if held and held[0].shape[1]:
             yield compared(held[0])
 
-    dealt = sized.select("mask", "part", "node", *names).repartition("mask", "part").sortWithinPartitions("mask", "part", "node")
+    dealt = sized.select(*by, *rest, *names).repartition(*by).sortWithinPartitions(*by, *rest)
     return dealt.mapInArrow(run, "a long, b long")

@@ -111,3 +111,26 @@ def test_similar_groups(spark, monkeypatch):
         apart = [i for i in range(len(texts)) if edits[i] == 0.2 and max(like(i, j) for j in range(len(texts)) if j != i and origin[j] == origin[i]) < 0.6]
         assert len(apart) > 20 and all(got[i] == i for i in apart)
     assert simhash.similar_groups(docs.limit(0)).collect() == []
+
+
+def test_buckets_over_2048_lose_no_pair(spark):
+    """Thousands of texts share a long passage, so buckets pass 2048; what hangs together is what whole buckets give."""
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(20000)}" for _ in range(n)]
+    passage, texts, near = say(120), [], []
+    for i in range(2600):
+        texts.append(passage + say(90))
+        if i % 13 == 0:
+            c = list(texts[-1])
+            for _ in range(4):
+                c[125 + r.randrange(80)] = f"x{r.randrange(20000)}"
+            near.append((len(texts) - 1, len(texts)))
+            texts.append(c)
+    order = simhash._sampled(4, 2, 42)
+    fp = simhash.simhashes([" ".join(t).encode() for t in texts], 5, 42, 4)
+    largest = max(np.unique(simhash._keys(fp, order[t], 2), return_counts=True)[1].max() for t in range(2))
+    assert largest > 2048
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got, whole = ({x.doc_id: x.component_id for x in simhash.similar_groups(docs, tables=2, key_bits=2, **kw).collect()} for kw in ({}, {"most": 10**9}))
+    assert got == whole
+    assert sum(got[a] == got[b] for a, b in near) == sum(whole[a] == whole[b] for a, b in near) >= 0.7 * len(near)
