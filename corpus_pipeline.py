@@ -22,14 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays: one of its rows, if rows share that id.
+    """Of each SimHash group the row with the smallest doc_id stays (null is the largest), of those the first by a hash of its text.
 
-    Groups are those of shingles of five words and a similarity of 0.8 or more, by wide fingerprints.
+    Groups are those of shingles of five words and a similarity of 0.8 or more, by wide fingerprints. Rows that share an
+    id, or have none, stay for each group that they lead.
     """
-    groups = simhash.similar_groups(docs, 0.8, k=5)
-    leaders = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = simhash.similar_groups(docs, 0.8, k=5).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    leaders = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_leader"))
+    keyed = docs.withColumn("_key", simhash.text_key("text"))
+    kept = keyed.join(leaders, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_leader")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

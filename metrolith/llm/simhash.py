@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.io import cut, stored
@@ -376,9 +376,14 @@ def _keys(fps: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
     return picked.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
+def text_key(text: Column | str) -> Column:
+    """128 bits that tell a text from others; null and empty are the same."""
+    return F.unhex(F.md5(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: int = 42, words: int = WORDS, tables: int = TABLES,
                    key_bits: int = KEY_BITS, most: int = MOST_IN_BUCKET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row: groups of texts whose shingle sets have a Jaccard similarity of about
+    """(doc_id, component_id, component, text_key) for every row: groups of texts whose shingle sets have a Jaccard similarity of about
     `similarity` or more, by fingerprints of 64 * words bits that lie within radius_of(similarity).
 
     That radius is too wide for the exact buckets of near_duplicates(). Here each of `tables` tables keys its buckets by
@@ -388,7 +393,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
     which near copies mostly agree; then what does not hang together yet in such a bucket is compared all the same, in
     pairs of blocks. So the size of a bucket does not decide which of its members are grouped.
 
-    Nulls, empty texts, repeated rows and empty tables are as in near_duplicates().
+    Nulls, empty texts, repeated rows and empty tables are as in near_duplicates(). Groups whose members' doc_ids are all
+    null share a null component_id; `component` tells all groups apart.
     """
     radius = radius_of(similarity, 64 * words)
     order = _sampled(words, tables, seed)
@@ -400,10 +406,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found = [simhashes(some, k, seed, words) for some in _in_slices(texts)]
             fp = (np.concatenate(found) if found else np.zeros((0, words), np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words))], names=["doc_id", "text_key", *names])
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps = stored(d.mapInArrow(wide, "doc_id long, " + fp_schema).withColumn("node", F.xxhash64(*names)))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("text_key"))
+    fps = stored(d.mapInArrow(wide, "doc_id long, text_key binary, " + fp_schema).withColumn("node", F.xxhash64(*names)))
     low = stored(fps.groupBy("node", *names).agg(F.min("doc_id").alias("low")))
 
     def columns(batch: pa.RecordBatch, at: int) -> np.ndarray:
@@ -448,8 +454,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
     of = low.join(ties, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     of = cut(of)
     least = cut(of.groupBy("component").agg(F.min("low").alias("component_id")))
-    of = cut(of.select("node", "component").join(least, "component").select("node", "component_id"))
-    return fps.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+    of = cut(of.select("node", "component").join(least, "component").select("node", "component", "component_id"))
+    return fps.select("doc_id", "text_key", "node").join(of, "node").select("doc_id", "component_id", "component", "text_key")
 
 
 def _block_pairs(large: DataFrame, ties: DataFrame, names: list[str], most: int) -> DataFrame:

@@ -74,3 +74,14 @@ def test_empty_table(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_null_and_repeated_ids_keep_distinct_documents(spark):
+    r = random.Random(4)
+    say = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(80))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (None, d), (9, e), (None, e), (3, e), (None, f), (None, None), (None, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == COLUMNS
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted([("None", a), ("None", b), ("7", c), ("7", d), ("3", e), ("None", f), ("7", "")])
