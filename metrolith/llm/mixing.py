@@ -109,17 +109,17 @@ def range_sorted(plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix as documents: each as often as the mix takes it whole or by half at least, with its own columns.
+    """The mix as documents, range-sorted by the training position of each copy, with their own columns.
 
-    Documents that the mix doesn't take are left out. Rows that share a doc_id (null too) share their text's size
-    only, so they are joined on doc_id, source and size, each once.
+    Each stands as often as the mix takes it whole or by half at least; documents that the mix doesn't take are left
+    out. Rows are joined to the plan on doc_id and size: rows that share both stand at the same positions.
     """
     doc_id, text, source = (kw.get(k, k) for k in ("doc_id", "text", "source"))
     plan = mix_plan(docs, **kw)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(times).alias("_mix_times"))
-    plan = cut(plan.where("_mix_times > 0"))
+    plan = plan.withColumn("times", times).where("times > 0").withColumn("at", F.slice("positions", F.lit(1), F.col("times")))
+    plan = cut(plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(F.struct("times", "at"))["at"].alias("_mix_positions")))
     d = docs.withColumn("_mix_words", word_count(F.col(text)))
     joined = d.join(plan, d[doc_id].eqNullSafe(plan["_mix_id"]) & (d["_mix_words"] == plan["_mix_size"]))
-    again = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    again = joined.withColumn("_mix_position", F.explode("_mix_positions")).orderBy("_mix_position", F.col(f"`{doc_id}`"))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

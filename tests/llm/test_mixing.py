@@ -83,6 +83,15 @@ def test_mixed_documents(spark):
         assert counts.get(i, 0) == (int(r.taken / r.size + 0.5) if r.size else 0)
 
 
+def test_mixed_documents_stand_in_training_order(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string").repartition(3)
+    mix = mixing.range_sorted(mixing.mix_plan(docs)).collect()
+    want = [r.doc_id for r in mix if r.copy < int(r.taken / r.size + 0.5)]
+    assert len(want) > 600 and [r.doc_id for r in mixing.mixed_documents(docs).collect()] == want
+    fading = mixing.mixed_documents(docs, schedules=(((0.0, 1.0), (1.0, 0.0)),) * 2 + (((0.0, 0.0), (1.0, 1.0)),))
+    assert [r.doc_id for r in fading.collect()] != want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_plan(docs).collect() == [] and mixing.mixed_documents(docs).collect() == []
