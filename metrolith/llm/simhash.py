@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.io import cut, stored
+from metrolith.llm.text import by_size, in_pieces, lean
 from metrolith.operators.graph import connected_components
 
 # The five primes of XXH64.
@@ -100,13 +101,25 @@ def simhashes(texts: list[bytes], k: int = 3, seed: int = 42, words: int = 1) ->
 
     With several `words` a row of them for each text: the hashes are widened by mixing.
     """
-    data, starts, lengths, counts = shingle_ranges([t.lower() for t in texts], k)
+    parts, of = in_pieces(texts, k)
+    sums, counts, at = np.zeros((len(texts), 64 * words), np.int32), np.zeros(len(texts), np.int64), 0
+    for some in _in_slices(parts):
+        found, n = _votes([t.lower() for t in some], k, seed, words)
+        np.add.at(sums, of[at : at + len(some)], found)
+        np.add.at(counts, of[at : at + len(some)], n)
+        at += len(some)
+    out = np.packbits(sums * 2 > counts[:, None], axis=1, bitorder="little").view(np.uint64).reshape(len(texts), words)
+    return out[:, 0] if words == 1 else out
+
+
+def _votes(texts: list[bytes], k: int, seed: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text how many shingles' hashes have each bit, and the number of shingles."""
+    data, starts, lengths, counts = shingle_ranges(texts, k)
     hashes = xxh64_ranges(data, starts, lengths, seed)
-    out = np.zeros((len(texts), words), np.uint64)
+    out = np.zeros((len(texts), 64 * words), np.int32)
     some = np.flatnonzero(counts)
     if len(some):
         ends = np.cumsum(counts[some])
-        sums = np.zeros((len(some), 64 * words), np.int32)
         begins = np.concatenate([[0], ends[:-1]])
         step = (1 << 16) // words
         for lo in range(0, len(hashes), step):  # by pieces, so that very long texts take no more memory
@@ -115,10 +128,8 @@ def simhashes(texts: list[bytes], k: int = 3, seed: int = 42, words: int = 1) ->
             wide = np.stack([hashes[lo:hi] if w == 0 else _mixed(hashes[lo:hi], w) for w in range(words)], axis=1)
             bits = np.unpackbits(wide.view(np.uint8).reshape(hi - lo, -1), axis=1, bitorder="little")
             cuts = np.maximum(begins[i:j] - lo, 0)
-            sums[i:j] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-        set_ = sums * 2 > counts[some][:, None]
-        out[some] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).reshape(len(some), words)
-    return out[:, 0] if words == 1 else out
+            out[some[i:j]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+    return out, counts
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -127,7 +138,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _in_slices(texts: list[bytes], most_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
+def _in_slices(texts: list[bytes], most_bytes: int = 2 << 20) -> Iterator[list[bytes]]:
     some: list[bytes] = []
     size = 0
     for t in texts:
@@ -144,13 +155,11 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, doc_id: str = "doc
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long. Null texts count as empty: fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = [simhashes(some, k, seed) for some in _in_slices(texts)]
-            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
+            fp = simhashes([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], k, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def close_pairs(values: np.ndarray, group: np.ndarray, radius: int, begin: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -325,7 +334,7 @@ def _compare(sized: DataFrame, radius: int) -> DataFrame:
             yield compared(held[0])
 
     dealt = sized.select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,7 +344,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, seed: int = 42
     for the bits. Fingerprints that differ in at most `radius` bits are linked; component_id is the smallest doc_id
     reachable. Exact copies, repeated rows and all texts without words (null, empty; fingerprint 0) share a fingerprint
     and so a component. A null doc_id keeps its row, but never names a component unless all its members are null.
-    Very long texts are hashed in slices. Empty tables give empty results; other columns are ignored.
+    Very long texts are hashed piece by piece, so they take no more memory than others. Empty tables give empty results; other columns are ignored.
     """
     fps = stored(fingerprints(docs, k, seed, doc_id, text))
     low = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
@@ -350,10 +359,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, seed: int = 42
 
 
 #: Words of a wide fingerprint, tables of sampled bits, bits of a table's key, and bits by which large buckets are split.
-WORDS, TABLES, KEY_BITS, MORE_BITS, LEVELS = 4, 50, 16, 8, 5
+WORDS, TABLES, KEY_BITS, MORE_BITS, LEVELS = 6, 50, 14, 8, 5
 
 
-def radius_of(similarity: float, bits: int, slack: float = 0.6) -> int:
+def radius_of(similarity: float, bits: int, slack: float = 1.0) -> int:
     """The distance of wide fingerprints that stands for a Jaccard similarity of shingle sets.
 
     Sets of one size with the similarity J have the cosine 2J / (1 + J), and each bit differs with the probability
@@ -388,7 +397,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
 
     That radius is too wide for the exact buckets of near_duplicates(). Here each of `tables` tables keys its buckets by
     key_bits sampled bits; members of a bucket are compared bit-sliced, as there. A pair at the radius' mean shares a
-    bucket of some table with a probability of 97 percent or more, a closer one of nearly 1; key_bits should grow with the logarithm
+    bucket of some table with a probability of 99 percent, one at the radius of 97 percent; key_bits should grow with the logarithm
     of the number of documents, and tables with it. Buckets of more than `most` are keyed by more bits first, in all of
     which near copies mostly agree; then what does not hang together yet in such a bucket is compared all the same, in
     pairs of blocks. So the size of a bucket does not decide which of its members are grouped.
@@ -402,14 +411,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
     fp_schema = ", ".join(f"{w} long" for w in names)
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = [simhashes(some, k, seed, words) for some in _in_slices(texts)]
-            fp = (np.concatenate(found) if found else np.zeros((0, words), np.uint64)).view(np.int64)
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
+            fp = simhashes([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], k, seed, words).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words))], names=["doc_id", "text_key", *names])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("text_key"))
-    fps = stored(d.mapInArrow(wide, "doc_id long, text_key binary, " + fp_schema).withColumn("node", F.xxhash64(*names)))
+    fps = stored(d.mapInArrow(lean(wide), "doc_id long, text_key binary, " + fp_schema).withColumn("node", F.xxhash64(*names)))
     low = stored(fps.groupBy("node", *names).agg(F.min("doc_id").alias("low")))
 
     def columns(batch: pa.RecordBatch, at: int) -> np.ndarray:
@@ -434,7 +441,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
         return run
 
     schema = "mask int, part long, node long, " + fp_schema
-    members = low.select("node", *names).mapInArrow(keyed, schema)
+    members = low.select("node", *names).mapInArrow(lean(keyed), schema)
     found, bits, large = None, key_bits, None
     for level in range(LEVELS):
         sizes = cut(members.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"))
@@ -446,7 +453,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, seed: i
         bits += MORE_BITS
         over = stored(sized.where(F.col("n") > most).select("mask", "part", "node", *names))
         large = over if large is None else large
-        members = over.drop("part").mapInArrow(longer(bits), schema)
+        members = over.drop("part").mapInArrow(lean(longer(bits)), schema)
     ties = cut(connected_components(cut(found.distinct())))
     if large is not None:
         more = cut(_compare_wide(_block_pairs(large, ties, names, most), names, radius, blocks=True).distinct())
@@ -517,4 +524,4 @@ def _compare_wide(sized: DataFrame, names: list[str], radius: int, blocks: bool
             yield compared(held[0])
 
     dealt = sized.select(*by, *rest, *names).repartition(*by).sortWithinPartitions(*by, *rest)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")

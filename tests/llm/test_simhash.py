@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from metrolith.llm import simhash
@@ -134,3 +135,42 @@ def test_buckets_over_2048_lose_no_pair(spark):
     got, whole = ({x.doc_id: x.component_id for x in simhash.similar_groups(docs, tables=2, key_bits=2, **kw).collect()} for kw in ({}, {"most": 10**9}))
     assert got == whole
     assert sum(got[a] == got[b] for a, b in near) == sum(whole[a] == whole[b] for a, b in near) >= 0.7 * len(near)
+
+
+@pytest.mark.parametrize("most", [8, 2048])
+def test_recall_of_similar_groups(spark, most):
+    """Pairs of a similarity of 0.8 or more, by brute force over five-word shingles, at two sizes beyond which buckets are split."""
+    r = random.Random(31)
+    rows, sets = [], []
+    for i in range(260):
+        words = [f"w{r.randrange(30_000)}" for _ in range(r.randint(60, 400))]
+        rows.append(words)
+        edited = list(words)
+        for _ in range(max(1, round(len(words) * r.uniform(0.002, 0.022)))):
+            edited[r.randrange(len(edited))] = f"e{r.randrange(9)}"
+        rows.append(edited)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs, 0.8, most=most).collect()}
+    alike = [2 * i for i, j in enumerate(near) if j >= 0.8]
+    assert len(alike) > 100 and sum(got[i] == got[i + 1] for i in alike) >= 0.9 * len(alike)
+    apart = [2 * i for i, j in enumerate(near) if j < 0.65]
+    assert sum(got[i] == got[i + 1] for i in apart) <= 0.1 * max(1, len(apart))
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_very_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a few words give the fingerprint of the whole, with odd white space, long words and repeats."""
+    from metrolith.llm import text
+
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "bb", "\u00e9", "w" * 30, "c1"]) + r.choice([" ", "\n", "  \t"]) for _ in range(n)) for n in (0, 1, 2, 3, 40, 400)] + ["   ", " x ", "y" * 300]
+    whole = [simhash.simhashes([t.encode()], 3, 42, w).tolist() for t in texts for w in (1, 6)]
+    monkeypatch.setattr(text, "LONG", 16)
+    monkeypatch.setattr(text.pieces, "__defaults__", (16,))
+    assert whole == [simhash.simhashes([t.encode()], 3, 42, w).tolist() for t in texts for w in (1, 6)]
+    for t in texts:
+        words = t.encode().split()
+        runs = [tuple(p.split()[i : i + 3]) for p in text.pieces(t.encode(), 3, 16) for i in range(len(p.split()) - 2)]
+        assert runs == [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
