@@ -16,6 +16,7 @@ minimisers, so they meet in one bucket.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.io import cut, stored
+from metrolith.llm.text import LONG, by_size, lean, pieces
 
 #: Strings of one minimiser that are sorted in one task.
 MOST_IN_BUCKET = 512
 # Odd multipliers of the rolling hashes: fixed values, any odd numbers would do.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE = 4 << 20
 
 
 def _digest(words: bytes) -> bytes:
@@ -108,39 +110,37 @@ def super_kmers(joined: list[bytes], width: int, m: int) -> tuple[np.ndarray, np
     return keep[of[begin]], mini[begin].view(np.int64), at - first_word[of[begin]], count, digests
 
 
-def _words(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").split())
-
-
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    lo = size = 0
+def _joined(texts: list[bytes], width: int) -> Iterator[tuple[int, list[bytes], np.ndarray | None]]:
+    """(first text, words joined by one space, first word of each): texts as they are, very long ones in pieces, one at a time."""
+    yield 0, [b" ".join(t.split()) if len(t) <= LONG else b"" for t in texts], None
     for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE or i == len(texts) - 1:
-            yield lo, texts[lo : i + 1]
-            lo, size = i + 1, 0
+        begin = 0
+        for piece in pieces(t, width) if len(t) > LONG else ():
+            words = piece.split()
+            yield i, [b" ".join(words)], np.array([begin])
+            begin += len(words) - width + 1
 
 
 def _records(docs: DataFrame, width: int, m: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            texts = [_words(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            for lo, some in _slices(texts):
+        for batch in (b for whole in batches for b in by_size(whole, 2)):
+            ids, keys, texts = batch.column(0), batch.column(1), [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            for lo, some, begins in _joined(texts, width):
                 of, mini, first, count, digests = super_kmers(some, width, m)
-                take = pa.array(of + lo)
+                take = pa.array(of + lo if begins is None else np.full(len(of), lo))
+                first = first if begins is None else first + begins[of]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mini), pa.array(digests, pa.binary()), ids.take(take), keys.take(take), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
                     names=["mini", "sid", "doc_id", "rk", "first", "n"])
 
-    return docs.mapInArrow(run, "mini long, sid binary, doc_id long, rk long, first int, n int")
+    return docs.mapInArrow(lean(run), "mini long, sid binary, doc_id long, rk long, first int, n int")
 
 
 def _packed(asked: DataFrame, width: int) -> DataFrame:
     """The packed strings that are asked for, from (doc_id, text, asked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
             for doc, text, ask in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or b"").split()
                 out = [(a["mini"], a["sid"], a["n_sid"], doc, b" ".join(words[a["first"] : a["first"] + a["n"] + width - 1])) for a in ask]
@@ -149,7 +149,7 @@ def _packed(asked: DataFrame, width: int) -> DataFrame:
                     [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["mini", "sid", "n_sid", "low", "packed"])
 
-    return asked.mapInArrow(run, "mini long, sid binary, n_sid long, low long, packed binary")
+    return asked.mapInArrow(lean(run), "mini long, sid binary, n_sid long, low long, packed binary")
 
 
 def _windows(packed: bytes, width: int) -> list[bytes]:
@@ -207,7 +207,7 @@ def _sorted_buckets(strings: DataFrame, width: int) -> DataFrame:
             judged(bucket, of, found)
         yield _as_ranges(found)
 
-    return strings.select("mini", "sid", "low", "packed").repartition("mini").sortWithinPartitions("mini").mapInArrow(run, _RANGES)
+    return strings.select("mini", "sid", "low", "packed").repartition("mini").sortWithinPartitions("mini").mapInArrow(lean(run), _RANGES)
 
 
 def _dealt_windows(strings: DataFrame, width: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _dealt_windows(strings: DataFrame, width: int) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["w", "low", "mini", "sid", "j"])
 
-    w = stored(strings.select("mini", "sid", "low", "packed").mapInArrow(explode, "w binary, low long, mini long, sid binary, j int"))
+    w = stored(strings.select("mini", "sid", "low", "packed").mapInArrow(lean(explode), "w binary, low long, mini long, sid binary, j int"))
     least = cut(w.groupBy("w").agg(F.min("low").alias("least")))
     later = w.join(least, "w").where("low > least")
     return later.select("mini", "sid", F.col("j").alias("lo"), (F.col("j") + 1).alias("hi"))
@@ -249,13 +249,20 @@ def repeated_ranges(docs: DataFrame, width: int = 50, m: int = 10, most: int = M
     return copies.union(own)
 
 
-def _kept(words: list[bytes], ranges: list[dict]) -> list[bytes]:
-    drop = np.zeros(len(words) + 1, np.int64)
-    for r in ranges:
-        drop[r["lo"]] += 1
-        drop[r["hi"]] -= 1
-    gone = np.cumsum(drop[:-1]) > 0
-    return [w for w, g in zip(words, gone.tolist()) if not g]
+def _kept(text: bytes, ranges: list[dict]) -> tuple[int, int, bytes]:
+    """(words, words removed, what is left): a run of words goes with the white space up to the next word."""
+    places = np.fromiter((x for w in _WORD.finditer(text) for x in w.span()), np.int64).reshape(-1, 2)
+    n = len(places)
+    drop = np.zeros(n + 1, np.int64)
+    np.add.at(drop, [r["lo"] for r in ranges], 1)
+    np.add.at(drop, [r["hi"] for r in ranges], -1)
+    gone = np.concatenate([[False], np.cumsum(drop[:-1]) > 0, [False]])
+    begins, ends = np.flatnonzero(~gone[:-1] & gone[1:]), np.flatnonzero(gone[:-1] & ~gone[1:])
+    left, at = [], 0
+    for lo, hi in zip(begins.tolist(), ends.tolist()):
+        left.append(text[at : places[lo, 0]])
+        at = int(places[hi, 0]) if hi < n else len(text)
+    return n, int(gone.sum()), b"".join([*left, text[at:]])
 
 
 def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str = "doc_id", text: str = "text", most: int = MOST_IN_BUCKET,
@@ -264,7 +271,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str
 
     Words are runs of anything but ASCII white space. Every word is removed that is covered by a window of `width` words
     whose word sequence also starts in a document with a smaller doc_id; all windows are judged on the input. kept_text
-    has the kept words, joined by one space, or the text as it is if nothing is removed.
+    is the text without those words and without the white space after them: what stays keeps its lines and indentation.
 
     Null texts have no words (kept_text is then empty). Rows of one doc_id, such as repeated rows, are not earlier than
     each other. Rows with a null doc_id are kept whole and make nothing else a repeat. Texts under `width` words stay.
@@ -280,21 +287,15 @@ def dedup_substrings(docs: DataFrame, width: int = 50, m: int = 10, doc_id: str
     ranges = ranges.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, (t, ranges) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())):
-                words = (t or b"").split()
-                kept = _kept(words, ranges) if ranges else words
-                out.append((len(words), len(words) - len(kept), (b" ".join(kept) if ranges else t or b"").decode()))
-                if len(out) == 2000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i + 1 - len(out), len(out)), *(pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))),
-                         *(c.slice(i + 1 - len(out), len(out)) for c in batch.columns[3:])],
-                        names=["doc_id", "n_words", "n_removed", "kept_text", *carried])
-                    out = []
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            out = [_kept(t, ranges) if ranges else (len(t.split()), 0, t) for t, ranges in zip(texts, batch.column(2).to_pylist())]
+            columns = zip(*out) if out else [()] * 3
+            made = [pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:2], made[2].cast(pa.string()), *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept_text", *carried])
 
     whole = known.join(ranges, ["doc_id", "rk"], "left").select("doc_id", "text", "ranges", *carried)
     whole = whole.union(unknown.select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>"), *carried))
     types = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carried)
-    out = whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string" + types)
+    out = whole.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_text string" + types)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col(x).alias(c) for x, c in zip(carried, carry)])

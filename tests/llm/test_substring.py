@@ -66,3 +66,31 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup_substrings(docs).collect() == []
+
+
+def test_long_texts_give_the_same_windows(monkeypatch):
+    """In pieces of a few words, every window of a text stands at its place once, under the same minimiser."""
+    from metrolith.llm import text
+
+    r = random.Random(3)
+    texts = ["".join(f"w{r.randrange(50)}" + r.choice([" ", "\n", " \t "]) for _ in range(n)).encode() for n in (5, 300, 0, 12, 200)]
+
+    def windows():
+        out = []
+        for lo, some, begins in substring._joined(texts, 12):
+            of, mini, first, n, _ = substring.super_kmers(some, 12, 3)
+            out += [(lo + (0 if begins is not None else int(o)), int(f) + j + (int(begins[o]) if begins is not None else 0), int(m)) for o, m, f, c in zip(of, mini, first, n) for j in range(int(c))]
+        return sorted(out)
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t.split()) - 11) for t in texts)
+    monkeypatch.setattr(substring, "LONG", 64)
+    monkeypatch.setattr(text.pieces, "__defaults__", (64,))
+    assert windows() == whole
+
+
+def test_formatting_stays(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, passage), (2, f"  head\n\n{passage}\n\n  tail\tend\n"), (3, f"x\n {passage} \n"), (4, f"{passage}\ny")], "doc_id long, text string")
+    kept = {x.doc_id: x.kept_text for x in substring.dedup_substrings(docs, 12, 3).collect()}
+    assert kept == {1: passage, 2: "  head\n\ntail\tend\n", 3: "x\n ", 4: "y"}
