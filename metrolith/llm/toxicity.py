@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolith.io import stored
+from metrolith.llm.text import by_size, lean
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Voters that need no labels: common insults, and patterns over the lower-cased text.
@@ -32,6 +33,8 @@ LEAST_HITS, LEAST_SHARE = 2, 0.008
 MOST_ROWS, MOST_VOTERS = 8000, 160
 #: Features of toxic rows that are looked at, the commonest first.
 MOST_CANDIDATES = 40_000
+#: How much a row without a label counts for the classifier, beside one with a label.
+UNLABELLED_COUNT = 0.1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,12 +127,12 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + votes @ (self.say * (yes - no)) + (self.say * no).sum()
 
 
-def fit_label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.97, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
+def fit_label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.999, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
     """The model and the posterior of each row, by expectation maximisation.
 
     Votes are 0 or 1; `given` is 1, 0, or -1 where no label is known, and counts as one more vote of accuracy `trust`.
-    Voters are taken to be independent given the label, except that a voter's say is divided by one plus the sum of its
-    positive correlations, given the label, with the others: copies of one voter count about once.
+    Voters are taken to be independent given the label, except that a voter's say is divided by one plus the sum of the
+    squares of its positive correlations, given the label, with the others: copies of one voter count about once.
     """
     n, m = votes.shape
     evidence = np.where(given == 1, 1.0, np.where(given == 0, -1.0, 0.0)) * np.log(trust / (1 - trust))
@@ -145,7 +148,7 @@ def fit_label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.97, r
         spread = np.sqrt(np.maximum((rest**2).mean(0), 1e-9))
         correlation = (rest.T @ rest) / n / spread[:, None] / spread[None, :]
         np.fill_diagonal(correlation, 0)
-        say = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
+        say = 1 / (1 + (np.clip(correlation, 0, 1) ** 2).sum(1))
         model = LabelModel(prior, on_toxic, on_clean, correlation, say)
         q = 1 / (1 + np.exp(-np.clip(model.log_odds(votes) + evidence, -30, 30)))
     return model, q
@@ -165,16 +168,17 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30))))
 
 
-def fit_classifier(x: np.ndarray, q: np.ndarray, penalty: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by Newton's method with an L2 penalty on the weights."""
+def fit_classifier(x: np.ndarray, q: np.ndarray, count: np.ndarray | None = None, penalty: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by Newton's method with an L2 penalty on the weights; a row counts `count` times."""
+    count = np.ones(len(x)) if count is None else count
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - q) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        g = x.T @ (count * (p - q)) + ridge * w
+        h = (x * (count * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -200,20 +204,24 @@ def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_voters: int = MOST_VOTERS,
           doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Classifier:
-    """Learn from at most `most_rows` labelled rows that aren't held out, those of the smallest id hashes.
-
-    Voters are the lexicon, the patterns, and the words and beginnings of words that set the toxic rows of the sample
-    apart. Labels decide which voters there are and vote themselves; the classifier sees texts alone. Repeated labels
-    of an id count once, the higher; null labels and ids count as no label. Without labelled rows of both kinds, voters
-    of the lexicon and the patterns have equal weights.
+    """Learn from at most `most_rows` labelled rows that aren't held out, those of the smallest id hashes, and from as
+    many rows without a label.
+
+    Voters are the lexicon, the patterns, and the words and beginnings of words that set the toxic labelled rows apart
+    (of the MOST_CANDIDATES commonest in them, MOST_VOTERS at most). The label model is fitted on the votes of all these
+    rows; a known label is one more voter, so rows without one have their posteriors from the other voters alone. The
+    classifier learns from the posteriors and sees texts alone. Repeated labels of an id count once, the higher; null
+    labels and ids count as no label. Without labelled rows of both kinds, voters of the lexicon and the patterns have
+    equal weights.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(toxic).alias("y")).where("id is not null and y is not null")
-    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    known = known.groupBy("id").agg(F.max(F.when(F.col("y") == 1, 1).otherwise(0)).alias("y"))
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    # The sample's ids are bounded by most_rows, so they can be broadcast.
-    sample = stored(d.join(F.broadcast(known), "id").select("id", "y", "text"))
-    sizes = {r["y"]: r["n"] for r in sample.groupBy((F.col("y") == 1).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    first = lambda ids: ids.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    rest = first(d.select("id").distinct().join(known, "id", "left_anti")).withColumn("y", F.lit(-1))
+    # The sample's ids are bounded by twice most_rows, so they can be broadcast.
+    sample = stored(d.join(F.broadcast(first(known).union(rest)), "id").select("id", "y", "text"))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         voters = Voters.of([])
@@ -221,28 +229,30 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_v
 
     def counted(rows: DataFrame, only: frozenset[str] | None, least: int) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b for whole in batches for b in by_size(whole, 0, 1 << 18)):
+                seen: Counter[str] = Counter()
                 for t in batch.column(0).to_pylist():
                     found = features_of(*words_of(t))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found if only is None else found & only), pa.string())], names=["f"])
+                    seen.update(found if only is None else found & only)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
 
-        n = rows.select("text").mapInArrow(run, "f string").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        n = rows.select("text").mapInArrow(lean(run), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         return {r["f"]: r["n"] for r in n.orderBy(F.desc("n"), "f").limit(MOST_CANDIDATES).collect()}
 
     in_toxic = counted(sample.where("y = 1"), None, max(3, n_toxic // 100))
-    in_clean = counted(sample.where("y <> 1"), frozenset(in_toxic), 1)
+    in_clean = counted(sample.where("y = 0"), frozenset(in_toxic), 1)
     voters = Voters.of(_choose(in_toxic, in_clean, n_toxic, n_clean, most_voters))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 2)):
             counts = [voters.counts(t).tolist() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(counts, pa.list_(pa.float32()))], names=["id", "y", "counts"])
 
-    rows = sample.mapInArrow(votes, "id long, y int, counts array<float>").orderBy("id").toArrow().combine_chunks()
+    rows = sample.mapInArrow(lean(votes), "id long, y int, counts array<float>").orderBy("id").toArrow().combine_chunks()
     counts = np.asarray(rows.column("counts").combine_chunks().flatten()).reshape(-1, len(voters.names)).astype(np.float64)
-    given = (np.asarray(rows.column("y")) == 1).astype(int)
+    given = np.asarray(rows.column("y")).astype(int)
     model, q = fit_label_model((counts > 0).astype(np.float64), given)
-    weights, bias = fit_classifier(np.log1p(counts), q)
+    weights, bias = fit_classifier(np.log1p(counts), q, np.where(given < 0, UNLABELLED_COUNT, 1.0))
     return Classifier(voters, weights, bias, model)
 
 
@@ -253,12 +263,12 @@ def score_documents(docs: DataFrame, classifier: Classifier, threshold: float =
     out. Repeated rows are scored alike. Empty tables give empty results; other columns are never looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
             scores = [classifier.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    d = d.mapInArrow(run, "doc_id long, score double")
+    d = d.mapInArrow(lean(run), "doc_id long, score double")
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -268,7 +278,7 @@ def keep_clean(docs: DataFrame, classifier: Classifier, threshold: float = 0.3,
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, at)):
             yield batch.filter(pa.array([classifier.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
