@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metrolith.llm.text import by_size, lean
 from metrolith.llm.tokens import word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,7 +30,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_ids(tokenizer_path), np.uint32(end_id).tobytes()
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
             out: list[tuple] = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.encode(t or "") + end
@@ -45,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             columns = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, types)], names=names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(cut_up, schema)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(cut_up), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, most_documents: int, most_cost: float,
@@ -93,8 +94,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, most_documents: int = 2048, mo
     """The pieces with sequence_id and offset; every column of `pieces` stays.
 
     Pieces are dealt out by hash, and each task packs them in groups of at most GROUP: memory is bounded, no group
-    depends on another, and a lost task is packed again alone. Sequence ids are unique, not gapless. Pieces of the full
-    capacity are sequences of their own. An empty table gives an empty result.
+    depends on another, and a lost task is packed again alone, in the same groups. Sequence ids are unique, not gapless.
+    Pieces of the full capacity, longer ones, and pieces that alone cost more than most_cost are sequences of their own.
+    An empty table gives an empty result.
     """
     cost_limit = float(capacity) ** 2 if most_cost is None else float(most_cost)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
@@ -109,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, most_documents: int = 2048, mo
             t = pa.Table.from_batches(group).combine_chunks()
             lengths = t.column(at).to_numpy()
             bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-            full = lengths >= capacity
+            full = (lengths >= capacity) | (lengths.astype(np.float64) ** 2 > cost_limit)
             bins[full] = np.arange(full.sum())
             bins[~full], offsets[~full] = best_fit(lengths[~full], capacity, most_documents, cost_limit, weights, rule)
             bins[~full] += full.sum()
@@ -131,8 +133,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, most_documents: int = 2048, mo
         if rows:
             yield packed(held)
 
-    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "ids_crc32"))
-    return dealt.mapInArrow(run, schema)
+    # Sorted, a task that runs again groups its pieces as before, in whatever order they come; equal rows are alike.
+    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32", "length")
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -146,5 +149,10 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, **limits) -> DataFrame:
-    """token_pieces(), packed: see there and pack() for nulls, empty and long texts, ties and repeated rows."""
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): token_pieces(), packed.
+
+    Null and empty texts are the end id alone. Texts over the capacity are cut, the first piece being the shorter. Ties
+    between sequences go to the one opened first. Repeated rows and rows with null ids are packed each. An empty table
+    gives an empty result; other columns are ignored.
+    """
     return pack(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), capacity, **limits)
