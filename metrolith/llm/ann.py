@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolith.io import cut, stored
+from metrolith.llm.text import lean
 
 CODES = 16  # four bits
-OUT = "query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -104,40 +104,40 @@ def tables(q: np.ndarray, book: Codebook) -> np.ndarray:
     return (one[:, 1::2, :, None] + one[:, 0::2, None, :]).reshape(len(q), -1, CODES * CODES)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, book: Codebook,
-                 k: int, rerank: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query: table scan, then exact products of the best by the tables.
-
-    Reranked are the best `rerank`, and all whose scanned score comes within `margin` times the usual error of the
-    exact k-th best of those, so that crowds of close vectors are ranked whole.
-    """
+def scan_block(q: np.ndarray, ids: np.ndarray, codes: np.ndarray, book: Codebook, k: int, rerank: int, slack: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (ids, scanned scores) of a block's best by the tables: `rerank` of them, ties to the smaller id, and
+    all within twice `slack` times the query's length of the k-th, so that crowds of close vectors stay whole."""
     columns = np.ascontiguousarray(codes.T)
-    out_q, out_v, out_s = [], [], []
-    slack = margin * book.error / np.sqrt(x.shape[1])
-    for lo in range(0, len(q), 256):
-        luts = tables(q[lo : lo + 256], book)
-        for i, lut in enumerate(luts, lo):
+    out = []
+    for lo in range(0, len(q), 64):
+        for i, lut in enumerate(tables(q[lo : lo + 64], book), lo):
             scan = lut[0][columns[0]]
             for b in range(1, len(columns)):
                 scan += lut[b][columns[b]]
-            best = np.arange(len(ids)) if len(ids) <= rerank else np.argpartition(-scan, rerank - 1)[:rerank]
-            own = x[best] @ q[i]
-            own[ids[best] == q_ids[i]] = -np.inf
-            if len(best) < len(ids) and len(best) > k:
-                kth = np.partition(own, -k)[-k]
-                more = np.flatnonzero(scan >= kth - slack * np.linalg.norm(q[i]))
-                if len(more) > 0:
-                    best = np.union1d(best, more)
-                    own = x[best] @ q[i]
-                    own[ids[best] == q_ids[i]] = -np.inf
-            top = np.lexsort((ids[best], -own))[:k]
-            top = top[own[top] > -np.inf]
-            out_q.append(np.full(len(top), q_ids[i]))
-            out_v.append(ids[best][top])
-            out_s.append(own[top])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+            some = best(ids, scan, k, rerank, 2 * slack * np.linalg.norm(q[i]))
+            out.append((ids[some], scan[some]))
+    return out
+
+
+def best(ids: np.ndarray, scan: np.ndarray, k: int, rerank: int, slack: float) -> np.ndarray:
+    """Places of the `rerank` best scores, ties to the smaller id, and of all within slack of the k-th best."""
+    if len(scan) <= rerank:
+        return np.arange(len(scan))
+    least = min(np.partition(scan, len(scan) - rerank)[len(scan) - rerank], np.partition(scan, len(scan) - k)[len(scan) - k] - slack)
+    some = np.flatnonzero(scan >= least)
+    if len(some) > rerank:
+        order = some[np.lexsort((ids[some], -scan[some]))]
+        close = scan[order] >= scan[order[k - 1]] - slack
+        some = order[: max(rerank, int(close.sum()))]
+    return some
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in one order of summation, so that equal vectors have equal scores wherever they stand."""
+    out = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        out += x[:, i] * q[i]
+    return out
 
 
 def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -151,48 +151,85 @@ def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 
 def search(rows: DataFrame, is_query, k: int = 20, sample: int = 20_000, width: int = 2, threshold: float = 0.2, rerank: int = 200,
-           margin: float = 1.5, block_rows: int = 8192, block_queries: int = 8192, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+           margin: float = 1.0, block_rows: int = 32_768, block_queries: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found by inner product, ties to the smaller vec_id.
 
-    `is_query` is a condition over vec_id. The codebook is fitted on at most `sample` rows (those of the smallest id
-    hashes); every row is coded and scanned. Rows and queries meet in blocks, each block keeps its k best after exact
-    reranking on the original vectors, and the k best of those are the answer. With no more than k candidates, all are
-    returned. See valid_vectors() for rows that take no part; vectors of another length than the sample's commonest do not
+    `is_query` is a condition over vec_id. The codebook is fitted on at most `sample` vectors (those of the smallest id
+    hashes); every vector is coded and scanned. Equal vectors are one in the index, under their smallest id: of its ids,
+    the k + 1 smallest are all that an answer can hold. Only ids and codes, a few bytes a vector, meet the queries, in
+    blocks; for each query the best of all blocks by the scan are then scored exactly where the vectors lie. With no
+    more than k candidates, all are returned.
+
+    See valid_vectors() for rows that take no part; vectors of another length than the sample's commonest do not
     either. Empty tables give empty results; other columns are ignored.
     """
     spark = rows.sparkSession
-    found = stored(valid_vectors(rows, vec_id, embedding))
+    valid = stored(valid_vectors(rows, vec_id, embedding))
     schema = "query_id long, rank int, vec_id long, score double"
-    lengths = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    lengths = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return spark.createDataFrame([], schema)
-    found = found.where(F.size("v") == lengths["d"])
-    n, nq = lengths["count"], found.where(is_query).count()
+    d = lengths["d"]
+    valid = valid.where(F.size("v") == d).withColumn("same", F.md5(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")))
+    nq = valid.where(is_query).count()
     if not nq:
         return spark.createDataFrame([], schema)
-    some = found.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v")
-    book = fit(some.combine_chunks().flatten().to_numpy().reshape(-1, lengths["d"]), width, threshold)
+    # A vector's ids, the smallest k + 1: counted before they meet, so that no task holds those of a very common vector.
+    place = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
+    ids = stored(valid.select("same", "vec_id").withColumn("place", place).where(F.col("place") <= k + 1).withColumn("u", F.min("vec_id").over(Window.partitionBy("same"))).select("u", "vec_id", "place"))
+    firsts = ids.where("place = 1").select(F.col("u").alias("vec_id"))
+    found = stored(valid.drop("same").join(firsts, "vec_id").select(F.col("vec_id").alias("u"), "v"))
+    n = found.count()
+    some = found.orderBy(F.xxhash64("u"), "u").limit(sample).select("v").toArrow().column("v")
+    book = fit(some.combine_chunks().flatten().to_numpy().reshape(-1, d), width, threshold)
+    slack = margin * book.error / np.sqrt(d)
     blocks, query_blocks = -(-n // block_rows), -(-nq // block_queries)
 
     def coded(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, lengths["d"])
+            x = batch.column(1).flatten().to_numpy().reshape(-1, d)
             codes = encode(x, book) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["u", "codes"])
 
-    index = found.mapInArrow(coded, "vec_id long, v array<double>, codes binary")
-    in_block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = index.select("*", in_block(blocks).alias("rb"), numbers(query_blocks).alias("qb"))
-    left = found.where(is_query).select("*", in_block(query_blocks).alias("qb"), numbers(blocks).alias("rb"))
-
-    def met(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(part):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in part["codes"]])
-        q, v, s = search_block(queries["vec_id"].to_numpy(), np.stack(queries["v"].to_list()), part["vec_id"].to_numpy(), np.stack(part["v"].to_list()), codes, book, k, rerank, margin)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    hits = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(met, OUT)
+    right = found.mapInArrow(lean(coded), "u long, codes binary").select("*", block_of("u", blocks).alias("rb"), numbers(query_blocks).alias("qb"))
+    queries = valid.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    left = queries.select("*", block_of("query_id", query_blocks).alias("qb"), numbers(blocks).alias("rb"))
+
+    def met(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(part):
+            return pd.DataFrame({"query_id": [], "u": [], "scan": []})
+        codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
+        hits = scan_block(np.stack(asked["q"].to_list()), part["u"].to_numpy(), codes, book, k + 1, rerank, slack)
+        return pd.DataFrame({"query_id": asked["query_id"], "u": [u for u, _ in hits], "scan": [s for _, s in hits]})
+
+    hits = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(met, "query_id long, u array<long>, scan array<float>")
+
+    def merged(of: pd.DataFrame) -> pd.DataFrame:
+        us, scan = np.concatenate(of["u"].to_list()), np.concatenate(of["scan"].to_list())
+        keep = best(us, scan, k + 1, rerank, 2 * slack * np.linalg.norm(of["q"].iloc[0]))
+        return pd.DataFrame({"query_id": of["query_id"].iloc[0], "u": us[keep], "rb": 0})
+
+    wanted = stored(hits.join(queries, "query_id").groupBy("query_id").applyInPandas(merged, "query_id long, u long, rb int").withColumn("rb", block_of("u", blocks)))
+    asked = wanted.groupBy("rb", "query_id").agg(F.collect_list("u").alias("us")).join(queries, "query_id").select("rb", "query_id", "us", "q")
+
+    def scored(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        out_q, out_u, out_s = [], [], []
+        if len(asked) and len(part):
+            part = part.sort_values("u")
+            known, x = part["u"].to_numpy(), np.stack(part["v"].to_list())
+            for query_id, us, q in zip(asked["query_id"], asked["us"], asked["q"]):
+                out_q.append(np.full(len(us), query_id))
+                out_u.append(us)
+                out_s.append(products(x[np.searchsorted(known, us)], q))
+        each = [np.concatenate(o) if o else [] for o in (out_q, out_u, out_s)]
+        return pd.DataFrame(dict(zip(("query_id", "u", "score"), each)))
+
+    exact = asked.groupBy("rb").cogroup(found.select(block_of("u", blocks).alias("rb"), "u", "v").groupBy("rb")).applyInPandas(scored, "query_id long, u long, score double")
+    # The k + 1 best vectors hold the k best ids, the query's own aside.
+    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "u")
+    exact = cut(exact.withColumn("near", F.row_number().over(near)).where(F.col("near") <= k + 1).drop("near"))
+    out = exact.join(ids, "u").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return cut(hits).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

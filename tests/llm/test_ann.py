@@ -48,3 +48,28 @@ def test_odd_rows(spark):
     assert got == {0: [(1, 3.0), (7, 3.0), (20, 0.0)], 20: [(1, 3.0), (0, 0.0), (7, 0.0)]}
     assert run(spark, []) == {}
     assert run(spark, [(1, [1.0])]) == {}
+
+
+@pytest.mark.parametrize("block_rows", [25, 70, 198, 8192])
+def test_repeated_vectors_tie_by_id(spark, block_rows):
+    """Equal vectors, wherever they lie, have one score and stand in the order of their ids; clashing columns are ignored."""
+    r = np.random.default_rng(block_rows)
+    x = r.normal(size=(240, 16)).astype(np.float32)
+    for of in (3, 50, 51):
+        x[r.choice(240, 24, replace=False)] = x[of]
+    x[7], x[8] = 0.0 * x[7] + [-0.0, 1.0] * 8, 0.0 * x[8] + [0.0, 1.0] * 8
+    rows = [(i, v.tolist(), 1, "u") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, u int, query_id string").repartition(7)
+    got = {}
+    for a in ann.search(df, F.col("vec_id") % 20 == 0, rerank=30, block_rows=block_rows, block_queries=5).orderBy("query_id", "rank").collect():
+        got.setdefault(a.query_id, []).append((a.vec_id, a.score))
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, 240, 20):
+        s = ann.products(y, y[q])
+        want = sorted((j for j in range(240) if j != q), key=lambda j: (-s[j], j))[:20]
+        assert len(got[q]) == 20 and got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+        assert all(score == s[j] for j, score in got[q])
+        for j, score in got[q]:  # no smaller id of an equal vector is left out
+            assert all(i in [v for v, _ in got[q]] for i in range(j) if i != q and np.array_equal(y[i], y[j]))
+        hits += len({j for j, _ in got[q]} & set(want))
+    assert hits >= 0.9 * 240
