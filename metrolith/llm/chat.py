@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 HEAD, END, NEXT = "###", "</turn>", "<turn/>"
 #: In the order of escaping; unescaping goes backwards.
 ESCAPES = [("\\", "\\s"), (HEAD, "\\h"), (END, "\\e"), (NEXT, "\\m")]
-BLOCK = 256
+#: Elements and characters that are taken at a time.
+BLOCK, CHARS = 256, 4096
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -37,17 +38,22 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """Sum of what stands before each element, over blocks, so that long arrays don't cost their square."""
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The column, worked out once for each row: as a generator's output it isn't put into lambdas that read it, where it
+    would be worked out again for each element."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def with_prefix_sums(df: DataFrame, lengths: str, name: str) -> DataFrame:
+    """A column with the sum of what stands before each element of an array of longs, in blocks of BLOCK: a block costs its
+    square, and blocks cost the square of their number, so an array of n elements costs about n * BLOCK / 2 additions."""
     n = F.size(lengths)
     blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    of_block = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    before = F.transform(blocks, lambda b: _sum(F.slice(of_block, F.lit(1), b)))
-    return F.transform(
-        lengths,
-        lambda x, i: F.get(before, F.floor(i / BLOCK).cast("int"))
-        + _sum(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
-    )
+    df = _held(df, "_of_block", F.transform(blocks, lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))))
+    df = _held(df, "_before", F.transform("_of_block", lambda x, b: _sum(F.slice("_of_block", F.lit(1), b))))
+    in_block = lambda i: F.floor(i / BLOCK).cast("int")
+    df = _held(df, name, F.transform(lengths, lambda x, i: F.get("_before", in_block(i)) + _sum(F.slice(lengths, in_block(i) * BLOCK + 1, i % BLOCK))))
+    return df.drop("_of_block", "_before")
 
 
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -66,23 +72,23 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
             F.coalesce(F.col(text), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    t = _held(t.groupBy("conv_id").agg(F.collect_list("t").alias("t")), "ts", F.sort_array("t")).drop("t")
     n = F.size("ts")
     first = lambda i: (i == 0) | (F.get("ts", i - 1)["role"] != F.get("ts", i)["role"])
     last = lambda i: (i == n - 1) | (F.get("ts", i + 1)["role"] != F.get("ts", i)["role"])
-    t = t.withColumn("ts", F.transform("ts", lambda x, i: F.struct(
+    t = _held(t, "turns", F.transform("ts", lambda x, i: F.struct(
         x["role"].alias("role"),
         F.when(first(i), F.concat(F.lit(f"{HEAD} "), escape(x["role"], True), F.lit(":\n"))).otherwise(F.lit(NEXT)).alias("head"),
         escape(x["text"]).alias("body"),
         F.when(last(i), F.lit(f"{END}\n")).otherwise(F.lit("")).alias("tail"),
         first(i).alias("opens"),
-    )))
+    ))).drop("ts").withColumnRenamed("turns", "ts")
     # Runs of one role: from each opening turn up to the next.
-    t = t.withColumn("opens", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("ts", i)["opens"]))
+    t = _held(t, "opens", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("ts", i)["opens"]))
     runs = F.transform("opens", lambda o, k: F.slice("ts", o + 1, F.coalesce(F.get("opens", k + 1), n) - o))
     merged = F.transform(runs, lambda r: F.array_join(F.transform(r, lambda x: F.concat(x["head"], x["body"], x["tail"])), ""))
-    t = t.withColumn("lengths", F.transform("ts", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).cast("array<bigint>"))
-    t = t.withColumn("starts", prefix_sums(F.col("lengths")))
+    t = _held(t, "lengths", F.transform("ts", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).cast("array<bigint>"))
+    t = with_prefix_sums(t, "lengths", "starts")
     spans = F.filter(
         F.zip_with("ts", "starts", lambda x, s: F.struct(
             (s + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length"), x["role"].alias("role"))),
@@ -106,16 +112,24 @@ def read_back(formatted: Column | str) -> Column:
     return F.flatten(F.transform(turned, lambda t: F.transform(t["texts"], lambda x: F.struct(t["role"].alias("role"), unescape(x).alias("text")))))
 
 
-def read_loss(formatted: Column | str, spans: Column | str) -> Column:
-    """All text under the mask, unescaped."""
-    formatted = F.col(formatted) if isinstance(formatted, str) else formatted
-    spans = F.col(spans) if isinstance(spans, str) else spans
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def with_loss(df: DataFrame, formatted: str, spans: str, name: str) -> DataFrame:
+    """A column with all text under the mask, unescaped. Code points are found by counting from a string's start, so the
+    text is cut into blocks first, in two steps, and a span looks only into the blocks that it lies in."""
+    def cut(df: DataFrame, into: str, of: str, chars: int, times: int) -> DataFrame:
+        count = F.greatest(F.lit(1), F.ceil(F.length(formatted) / chars).cast("int"))
+        start = (lambda i: F.substring(formatted, i * chars + 1, F.lit(chars))) if not of else (lambda i: F.substring(F.get(of, F.floor(i / times).cast("int")), i % times * chars + 1, F.lit(chars)))
+        return _held(df, into, F.transform(F.sequence(F.lit(0), count - 1), start))
+
+    df = cut(cut(df, "_large", "", 64 * CHARS, 1), "_small", "_large", CHARS, 64)
+    at = lambda s: F.floor(s["start"] / CHARS).cast("int")
+    upto = lambda s: F.floor((s["start"] + s["length"]) / CHARS).cast("int")
+    within = lambda s: F.substring(F.array_join(F.slice("_small", at(s) + 1, upto(s) - at(s) + 1), ""), (s["start"] % CHARS + 1).cast("int"), s["length"].cast("int"))
+    return _held(df, name, F.array_join(F.transform(spans, lambda s: unescape(within(s))), "")).drop("_large", "_small")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What is read back from the output of format_conversations()."""
-    d = formatted.select("conv_id", "formatted", read_back("formatted").alias("turns"), read_loss("formatted", "loss_spans").alias("loss"))
+    d = with_loss(_held(formatted, "turns", read_back("formatted")), "formatted", "loss_spans", "loss")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return d.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),

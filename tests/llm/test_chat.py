@@ -25,7 +25,7 @@ def test_round_trip(spark):
     rows = conversations()
     df = spark.createDataFrame([(*x, "z") for x in rows], "conv_id long, turn long, role string, text string, formatted string")
     out = chat.format_conversations(df.repartition(4))
-    got = {r.conv_id: r for r in out.withColumn("turns", chat.read_back("formatted")).withColumn("loss", chat.read_loss("formatted", "loss_spans")).collect()}
+    got = {r.conv_id: r for r in chat.with_loss(out.withColumn("turns", chat.read_back("formatted")), "formatted", "loss_spans", "loss").collect()}
     digests = {r.conv_id: r for r in chat.digest(out).collect()}
     by = {}
     for c, t, role, text in rows:
