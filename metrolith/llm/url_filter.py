@@ -50,82 +50,86 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    h = F.xxhash64(F.lit(level), key)
+def _positions(key: Column, level: Column, bits: int, hashes: int) -> list[Column]:
+    h = F.xxhash64(level, key)
     first, step = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1))
     return [F.pmod(first + step * F.lit(i), F.lit(bits)) for i in range(hashes)]
 
 
-def _built(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
-    """One row: the filter's words in order."""
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
-    set_bits = at.groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")
-    )
-    blank = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
-    words = set_bits.union(blank).groupBy("w").agg(F.bit_or("x").alias("x"))
-    return cut(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words")))
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.hash(F.lit("shard"), key), F.lit(shards))
+
+
+def _built(keys: DataFrame, level: int, bits: int, hashes: int, shards: int) -> DataFrame:
+    """(shard, words): the words of each shard's filter in order."""
+    at = keys.select(_shard(F.col("key"), shards).alias("shard"), F.explode(F.array(*_positions(F.col("key"), F.lit(level), bits, hashes))).alias("p"))
+    set_bits = at.groupBy("shard", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
+    n = bits // 64
+    blank = keys.sparkSession.range(shards * n).select((F.col("id") / n).cast("int").alias("shard"), (F.col("id") % n).alias("w"), F.lit(0).cast("long").alias("x"))
+    words = set_bits.union(blank).groupBy("shard", "w").agg(F.bit_or("x").alias("x"))
+    return cut(words.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]).alias("words")))
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Filters in turn for listed keys, for the unlisted that pass, for the listed that pass that, and so on."""
+    """Filters in turn for listed keys, for the unlisted that pass, for the listed that pass that, and so on.
+
+    Each level is a table of (shard, words); keys are dealt to shards by hash. With one shard, a level is a scalar
+    subquery of one row and nothing is joined. With more, rows meet the few filters of their key's shard by its number:
+    no list of keys is joined at any size.
+    """
 
     levels: list[tuple[DataFrame, int]]
     hashes: int
-
-    def listed(self, key: Column) -> Column:
-        """Exact for every key of the universe from which the cascade was built."""
+    shards: int
+
+    def _holds(self, i: int, key: Column, words: Column) -> Column:
+        held = F.lit(True)
+        for p in _positions(key, F.lit(i), self.levels[i][1], self.hashes):
+            held = held & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return held
+
+    def with_listed(self, df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
+        """df with a column that says whether its key is listed, by the levels from `first` on; exact for every key of the
+        universe that the cascade was built from."""
+        numbers = range(first, len(self.levels))
+        if self.shards == 1:
+            words = {i: self.levels[i][0].select("words").scalar() for i in numbers}
+        else:
+            df = df.withColumn("_shard", _shard(F.col(key), self.shards))
+            for i in numbers:
+                df = df.join(self.levels[i][0].select(F.col("shard").alias("_shard"), F.col("words").alias(f"_words{i}")), "_shard", "left")
+            words = {i: F.col(f"_words{i}") for i in numbers}
         out = F.lit(len(self.levels) % 2 == 1)  # passed them all
-        for i in reversed(range(len(self.levels))):
-            words, bits = self.levels[i]
-            held = F.lit(True)
-            for p in _positions(key, i, bits, self.hashes):
-                word = F.get(words.select("words").scalar(), F.shiftright(p, 6).cast("int"))
-                held = held & (F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
-            out = F.when(held, out).otherwise(F.lit(i % 2 == 1))
-        return out
-
-
-def cascade(universe: DataFrame, key: str, listed: Column, bits_per_key: int = 10, hashes: int = 5,
-            max_bytes: int = 32 << 20, max_levels: int = 40) -> Cascade | None:
+        for i in reversed(numbers):
+            out = F.when(self._holds(i, F.col(key), words[i]), out).otherwise(F.lit(i % 2 == 1))
+        return df.withColumn(name, out).drop("_shard", *[f"_words{i}" for i in numbers])
+
+
+def cascade(universe: DataFrame, key: str, listed: Column, bits_per_key: int = 10, hashes: int = 5, max_bytes: int = 8 << 20) -> Cascade:
     """A cascade over all distinct non-null keys; `listed` says which are on the list (a key is, if any row says so).
 
-    Each level is a scalar subquery of one row, so nothing is joined. Its size is checked: None is returned if
-    a level would take more than max_bytes, and judge() then joins the list instead, with the same result.
+    A shard's filter takes max_bytes at most, by the mean number of keys: there are as many shards as that needs. Levels
+    go on until no key is left that passes wrongly; each has its own hashes, so they end.
     """
     keys = universe.select(F.col(key).alias("key"), listed.alias("on")).where("key is not null")
     keys = cut(keys.groupBy("key").agg(F.max(F.coalesce("on", F.lit(False))).alias("on")))
     inside, outside = keys.where("on").select("key"), keys.where(~F.col("on")).select("key")
+    shards = max(1, -(-inside.count() * bits_per_key // (8 * max_bytes)))
     levels: list[tuple[DataFrame, int]] = []
     while n := inside.count():
         bits = 64
-        while bits < n * bits_per_key:
+        while bits < n * bits_per_key / shards:
             bits *= 2
-        if bits // 8 > max_bytes:
-            return None
-        if len(levels) == max_levels:
-            raise RuntimeError("the cascade does not end")
-        built = _built(inside, len(levels), bits, hashes)
-        levels.append((built, bits))
-        one = Cascade([(built, bits)], hashes)
-        # Which keys of the other class pass this level; hash seeds are those of the level.
-        passed = outside.where(_passes(one, len(levels) - 1, F.col("key")))
+        levels.append((_built(inside, len(levels), bits, hashes, shards), bits))
+        # Which keys of the other class pass this level.
+        last = Cascade(levels, hashes, shards)
+        passed = last.with_listed(outside, "key", "_same", len(levels) - 1).where(F.col("_same") == F.lit(len(levels) % 2 == 1)).select("key")
         inside, outside = cut(passed), inside
-    return Cascade(levels, hashes)
-
-
-def _passes(one: Cascade, level: int, key: Column) -> Column:
-    words, bits = one.levels[0]
-    held = F.lit(True)
-    for p in _positions(key, level, bits, one.hashes):
-        word = F.get(words.select("words").scalar(), F.shiftright(p, 6).cast("int"))
-        held = held & (F.getbit(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return held
+    return Cascade(levels, hashes, shards)
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: Column, key: str = "page_id", url: str = "url",
-          max_bytes: int = 32 << 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], listed: Column, key: str = "page_id", url: str = "url", max_bytes: int = 8 << 20) -> DataFrame:
     """(key, host, path, rule, verdict) for every page.
 
     The longest rule that fits decides; else the host's membership in the list does: block if listed, allow if not.
@@ -137,15 +141,9 @@ def judge(pages: DataFrame, rules: list[Rule], listed: Column, key: str = "page_
     """
     p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"))
     p = p.select("k", "url", url_host("url").alias("host"), url_path("url").alias("path"))
-    made = cascade(p, "host", listed, max_bytes=max_bytes)
+    p = cascade(p, "host", listed, max_bytes=max_bytes).with_listed(p, "host", "listed")
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    if made is None:
-        on = p.where(listed).select("host").distinct().withColumn("on", F.lit(True))
-        p = p.join(on, "host", "left")
-        member = F.coalesce("on", F.lit(False))
-    else:
-        member = made.listed(F.col("host"))
-    out = p.select("k", "host", "path", name.alias("rule"), verdict.alias("ruled"), member.alias("listed"))
+    out = p.select("k", "host", "path", name.alias("rule"), verdict.alias("ruled"), "listed")
     return out.select(
         F.col("k").alias(key), "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),

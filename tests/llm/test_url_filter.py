@@ -30,7 +30,7 @@ def judged(spark, **kw):
 
 def test_matches_brute_force(spark):
     listed = {brute(u, set())[0] for u in URLS if u and "utm_" in u}
-    for kw in ({}, {"max_bytes": 8}):  # through the cascade, and past its bound
+    for kw in ({}, {"max_bytes": 8}, {"max_bytes": 64}):  # one filter for each level, and many shards
         got = judged(spark, **kw).collect()
         assert len(got) == len(URLS) + 2
         for r in got:
@@ -40,16 +40,17 @@ def test_matches_brute_force(spark):
 
 def test_cascade_is_exact_and_joins_nothing(spark):
     keys = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 17 == 0).alias("on"))
-    c = url_filter.cascade(keys, "key", F.col("on"), bits_per_key=3, hashes=2)
-    assert len(c.levels) >= 3
-    out = keys.select("on", c.listed(F.col("key")).alias("got"))
-    assert out.where("on <> got").count() == 0
+    for most, shards in ((1 << 20, 1), (16, 9)):
+        c = url_filter.cascade(keys, "key", F.col("on"), bits_per_key=3, hashes=2, max_bytes=most)
+        assert len(c.levels) >= 3 and c.shards == shards
+        assert c.with_listed(keys, "key", "got").where("on <> got").count() == 0
     plan = judged(spark)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(none, RULES, F.col("url").contains("utm_"), max_bytes=8).collect() == []
     assert url_filter.judge(none, RULES, F.col("url").contains("utm_")).collect() == []
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [tuple(r) for r in url_filter.judge(one, RULES, F.lit(None).cast("boolean")).collect()] == [(1, "a.org", "/", None, "allow")]
