@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from metrolith.io import cut, stored
 from metrolith.llm.substring import _BYTES, _WORDS, _ranges
+from metrolith.llm.text import by_size, in_pieces, lean
 from metrolith.operators.graph import connected_components
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 7
 SLICE = 2 << 20
+#: Texts, or pieces of very long ones, whose shingles are hashed at a time.
+PARTS = 4096
 #: Bands of a signature; at a likeness of 0.8, 1 - (1 - 0.8^4)^32 leaves out two pairs in ten million.
 BANDS = 32
 
@@ -47,13 +50,25 @@ def signatures(texts: list[bytes], permutations: int = PERMUTATIONS, seed: int =
     The 64-bit least is brought down to 16 bits; two different ones agree by chance once in 65,536. A text without
     words has the row of all ones.
     """
-    a, b = _coefficients(permutations, seed)
     out = np.full((len(texts), permutations), 0xFFFF, np.uint16)
+    least, seen = np.full((len(texts), permutations), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(texts), bool)
+    parts, of = in_pieces(texts, k)
+    for lo in range(0, len(parts), PARTS):  # so that batches of very long texts take no more memory
+        some, found = _least(parts[lo : lo + PARTS], permutations, seed, k)
+        np.minimum.at(least, of[lo : lo + PARTS][some], found)
+        seen[of[lo : lo + PARTS][some]] = True
+    out[seen] = ((least[seen] ^ (least[seen] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+    return out
+
+
+def _least(texts: list[bytes], permutations: int, seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have shingles, and the least of each hash over them."""
+    a, b = _coefficients(permutations, seed)
     hashes, counts = shingle_hashes(texts, k)
     some = np.flatnonzero(counts)
-    if not len(some):
-        return out
     least = np.full((len(some), permutations), np.uint64(0xFFFFFFFFFFFFFFFF))
+    if not len(some):
+        return some, least
     ends = np.cumsum(counts[some])
     begins = np.concatenate([[0], ends[:-1]])
     step = 1 << 15  # shingles at a time stay in the cache
@@ -63,8 +78,7 @@ def signatures(texts: list[bytes], permutations: int = PERMUTATIONS, seed: int =
         cuts, part = np.maximum(begins[i:j] - lo, 0), hashes[lo:hi]
         for p in range(permutations):
             least[i:j, p] = np.minimum(least[i:j, p], np.minimum.reduceat(part * a[p] + b[p], cuts))
-    out[some] = ((least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
-    return out
+    return some, least
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -81,7 +95,8 @@ def edited(text: str, following: str) -> str:
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, last, doc_id, text): ranges of doc_id; each bucket also gets the first row of the next one, flagged last.
 
-    The bounds are quantiles, the first rows are one for each bucket: both are small, whatever the table.
+    The bounds are quantiles, the first rows are one for each bucket: both are small, whatever the table. They come from
+    the ids alone; texts are read once.
     """
     bounds = [int(x) for x in docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)] if buckets > 1 else []
     bounds = sorted(set(bounds))
@@ -93,12 +108,18 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     firsts = d.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("bucket").collect()
     if not firsts:
         return d.select("bucket", F.lit(False).alias("last"), "doc_id", "text")
-    to = F.lit(None).cast("int")
+    # The first row of a bucket goes to the one before it as well, that of the first to the last.
+    to, null_to = {}, None
     for before, row in zip([firsts[-1], *firsts[:-1]], firsts):
-        is_first = F.col("doc_id").isNull() if row["nulls"] else F.col("doc_id") == row["first"]
-        to = F.when((F.col("bucket") == row["bucket"]) & is_first, before["bucket"]).otherwise(to)
-    ends = d.withColumn("to", to).where("to is not null").select(F.col("to").alias("bucket"), F.lit(True).alias("last"), "doc_id", "text")
-    return d.select("bucket", F.lit(False).alias("last"), "doc_id", "text").union(ends)
+        if row["nulls"]:
+            null_to = before["bucket"]
+        else:
+            to[row["first"]] = before["bucket"]
+    known = F.create_map(*[F.lit(x) for pair in to.items() for x in pair]) if to else F.create_map().cast("map<bigint,int>")
+    also = F.when(F.col("doc_id").isNull(), F.lit(null_to).cast("int")).otherwise(F.try_element_at(known.cast("map<bigint,int>"), F.col("doc_id")))
+    place = lambda bucket, last: F.struct(bucket.alias("bucket"), F.lit(last).alias("last"))
+    both = F.when(also.isNull(), F.array(place(F.col("bucket"), False))).otherwise(F.array(place(F.col("bucket"), False), place(also, True)))
+    return d.withColumn("at", F.explode(both)).select("at.bucket", "at.last", "doc_id", "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -116,7 +137,7 @@ def fingerprint_documents(docs: DataFrame, permutations: int = PERMUTATIONS, see
     total up to equal rows. A single row is its own next. Empty tables give empty results; other columns are ignored.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = buckets or min(512, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = _bucketed(d, n)
 
     def finished(rows: list[tuple], nexts: list[str]) -> pa.RecordBatch:
@@ -138,7 +159,8 @@ def fingerprint_documents(docs: DataFrame, permutations: int = PERMUTATIONS, see
         held: list[tuple] = []  # rows of one bucket whose successors aren't all known
         size, of, done = 0, None, False
         for batch in batches:
-            for bucket, last, key, t in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = (x for part in by_size(batch, 3) for x in zip(*(c.to_pylist() for c in part.columns)))
+            for bucket, last, key, t in rows:
                 if bucket != of:
                     assert not held or done
                     held, size, of, done = [], 0, bucket, False
@@ -156,8 +178,8 @@ def fingerprint_documents(docs: DataFrame, permutations: int = PERMUTATIONS, see
                     held = held[-1:]
                     size = len(held[0][1])
 
-    dealt = d.repartition(n, "bucket").sortWithinPartitions("bucket", "last", F.asc_nulls_first("doc_id"), "text")
-    return dealt.mapInArrow(run, OUT)
+    dealt = d.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "last", F.asc_nulls_first("doc_id"), "text")
+    return dealt.mapInArrow(lean(run), OUT)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, permutations: int = PERMUTATIONS, seed: int = SEED,
@@ -174,11 +196,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     are exact copies. Empty tables give empty results; other columns are ignored.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 1)):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            hashes, counts = shingle_hashes(texts, k)
-            cuts = np.concatenate([[0], np.cumsum(counts)])
-            found = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+            parts, of = in_pieces(texts, k)
+            hashes, counts = shingle_hashes(parts, k)
+            cuts = np.cumsum(np.bincount(of, counts, len(texts)).astype(np.int64)) if len(texts) else []
+            found = [np.unique(h) for h in np.split(hashes, cuts[:-1])] if len(texts) else []
             sig = signatures(texts, permutations, seed, k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
@@ -187,7 +210,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                 names=["doc_id", "cls", "shingles", "bands"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    d = stored(d.mapInArrow(sets, "doc_id long, cls binary, shingles array<long>, bands array<long>"))
+    d = stored(d.mapInArrow(lean(sets), "doc_id long, cls binary, shingles array<long>, bands array<long>"))
     classes = stored(d.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
     banded = classes.select("cls", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
