@@ -3,7 +3,8 @@
 Both models are interpolated bigram models over one vocabulary, that of lower-cased words, with one smoothing.
 The background's counts, from the whole corpus, are matched to the target's mass, so that the models differ in what
 they saw and not in how much. A document's score is its mean loss per token under the target model less that under the
-background model: the lower, the more like the target.
+background model: the lower, the more like the target. A document's own counts are left out of both models when it is
+scored, so that no text looks familiar for having been learned from; a copy elsewhere counts.
 
 Counts are exact, by 64-bit hashes of words and pairs, and grow with the corpus:
 
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 
 from metrolith.io import stored
 from metrolith.llm.substring import _BYTES, _mix, _ranges
+from metrolith.llm.text import by_size, lean
 
 #: The smoothing takes the vocabulary to have 2^WORD_BITS words at least.
 WORD_BITS = 18
 #: Tokens of a chunk, beyond which the next one begins, and the least number of buckets.
 CHUNK_TOKENS, LEAST_BUCKETS = 2_000_000, 256
-SLICE = 4 << 20
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,15 +47,6 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE or i == len(texts) - 1:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-
-
 def _pack(a: np.ndarray) -> bytes:
     """Byte by byte, so that the high bytes of small numbers stand together."""
     return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
@@ -91,19 +83,18 @@ def _chunks(marked: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_size(whole, 2)):
             targets = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            for lo, hi in _slices(texts):
-                h, sizes = token_hashes(texts[lo:hi])
-                held.append((batch.column(0).slice(lo, hi - lo), targets[lo:hi], sizes, h))
-                if sum(len(x[3]) for x in held) >= CHUNK_TOKENS:
-                    yield whole()
-                    held, made = [], made + 1
+            h, sizes = token_hashes(texts)
+            held.append((batch.column(0), targets, sizes, h))
+            if sum(len(x[3]) for x in held) >= CHUNK_TOKENS:
+                yield whole()
+                held, made = [], made + 1
         if held:
             yield whole()
 
-    return marked.mapInArrow(run, CHUNK)
+    return marked.mapInArrow(lean(run), CHUNK)
 
 
 class _Grams:
@@ -137,6 +128,14 @@ class _Grams:
         return out[:, self.order]
 
 
+def _in_own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """For each token, how often the same stands in its own document."""
+    if not len(what):
+        return np.zeros(0)
+    _, at, times = np.unique(doc * (int(what.max()) + 1) + what, return_inverse=True, return_counts=True)
+    return times[at].astype(np.float64)
+
+
 def _asked(chunks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +151,7 @@ def _asked(chunks: DataFrame, bits: int) -> DataFrame:
                     columns = zip(*out[lo : lo + 64])
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
 
-    return chunks.select("chunk", "targets", "sizes", "words", "tokens").mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
+    return chunks.select("chunk", "targets", "sizes", "words", "tokens").mapInArrow(lean(run), "bucket int, chunk long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -176,7 +175,7 @@ def _answered(asked: DataFrame) -> DataFrame:
 
 def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of (doc_id, is target, text): mean losses in bits per token,
-    and their difference.
+    and their difference. Rows are scored without their own counts; repeated rows count for each other.
 
     Null and empty texts have no tokens and zeros. Null doc_ids and repeated rows keep their rows. Very long texts are
     scored whole. Empty tables give empty results.
@@ -199,17 +198,23 @@ def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS)
             if by_bucket:
                 total[:, g.order] = np.concatenate(by_bucket, axis=1)
             n, ends, means = len(g.hashes), np.concatenate([[0], np.cumsum(sizes)]), []
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            own = [_in_own(doc, x) for x in (g.token, g.before, g.pair)]
+            target = np.array(row["targets"], bool)
             for side, scale in ((1, 1.0), (0, share)):
-                unigram = (total[side, :n] * scale + 1.0) / (mass[side] * scale + vocabulary)
-                before = np.append(total[side + 2, :n], starts[side]) * scale
-                loss = -np.log2((total[side, n:] * scale + strength * unigram[g.pair_word]) / (before[g.pair_before] + strength))
-                sums = np.concatenate([[0.0], np.cumsum(loss[g.pair])])
+                in_model = 1.0 if side == 0 else target[doc].astype(np.float64)
+                word = (total[side, :n][g.token] - own[0] * in_model) * scale
+                left = np.append(total[side + 2, :n], starts[side])[g.before] - own[1] * in_model
+                unigram = (word + 1.0) / ((mass[side] - sizes[doc] * in_model) * scale + vocabulary)
+                pair = (total[side, n:][g.pair] - own[2] * in_model) * scale
+                loss = -np.log2((pair + strength * unigram) / (left * scale + strength))
+                sums = np.concatenate([[0.0], np.cumsum(loss)])
                 means.append((sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(sizes, 1))
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": sizes, "target_loss": means[0], "background_loss": means[1], "score": means[0] - means[1]}))
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "score"))])
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    docs = chunks.select("chunk", "doc_ids", "sizes", "words", "tokens").groupBy("chunk")
+    docs = chunks.select("chunk", "doc_ids", "targets", "sizes", "words", "tokens").groupBy("chunk")
     return docs.cogroup(answers.select("chunk", "bucket", "totals").groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
