@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from metrolith.io import cut, stored
 from metrolith.llm.text import word_count
@@ -69,8 +70,8 @@ def training_position(done: Column, schedule: Column, schedules=SCHEDULES) -> Co
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-             schedules=SCHEDULES, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, positions) for every document.
+             schedules=SCHEDULES, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, positions) for every document, and `row`, if given, as row_key.
 
     A source's documents stand in the order of a hash. The mix takes round(target) words of that order: whole passes,
     then the start of another, so the last document taken may be cut. `taken` counts words, repeats included;
@@ -80,7 +81,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     null or repeated; repeated rows follow each other in the order. Empty tables give empty results. Other columns are
     ignored, whatever their names. The same rows always give the same result, however they are partitioned.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([row.alias("row_key")] if row is not None else []))
     d = stored(d.withColumn("ord", F.xxhash64("doc_id", "source", "size")))
     rows = d.count()
     buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
@@ -100,7 +101,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     d = d.withColumn("part", part).withColumn("copies", F.col("passes") + (F.col("part") > 0).cast("long"))
     at = lambda j: training_position((j * F.col("source_size") + F.col("ahead")) / F.col("words"), F.col("idx") % len(schedules), schedules)
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "copies", positions.alias("positions"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "copies", positions.alias("positions"), *(["row_key"] if row is not None else []))
 
 
 def range_sorted(plan: DataFrame) -> DataFrame:
@@ -108,18 +109,25 @@ def range_sorted(plan: DataFrame) -> DataFrame:
     return plan.select("*", F.posexplode("positions").alias("copy", "position")).orderBy("position", "doc_id", "copy")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word; null and texts of no more words are as they are."""
+    return F.when(n < word_count(text), F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n), "")).otherwise(text)
+
+
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix as documents, range-sorted by the training position of each copy, with their own columns.
 
-    Each stands as often as the mix takes it whole or by half at least; documents that the mix doesn't take are left
-    out. Rows are joined to the plan on doc_id and size: rows that share both stand at the same positions.
+    Each stands as often as the mix takes it; the copy that ends a source's share is cut after the words that are taken,
+    so sources have the words of their targets. Documents that the mix doesn't take are left out. Rows and their plan
+    meet by a hash of all their columns: rows that are equal in every column share their plans out among them.
     """
-    doc_id, text, source = (kw.get(k, k) for k in ("doc_id", "text", "source"))
-    plan = mix_plan(docs, **kw)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    plan = plan.withColumn("times", times).where("times > 0").withColumn("at", F.slice("positions", F.lit(1), F.col("times")))
-    plan = cut(plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(F.struct("times", "at"))["at"].alias("_mix_positions")))
-    d = docs.withColumn("_mix_words", word_count(F.col(text)))
-    joined = d.join(plan, d[doc_id].eqNullSafe(plan["_mix_id"]) & (d["_mix_words"] == plan["_mix_size"]))
-    again = joined.withColumn("_mix_position", F.explode("_mix_positions")).orderBy("_mix_position", F.col(f"`{doc_id}`"))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc_id, text = (kw.get(k, k) for k in ("doc_id", "text"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*[c if not isinstance(f.dataType, MapType) else F.map_entries(c) for c, f in zip(names, docs.schema)])
+    plan = mix_plan(docs, row=row, **kw).where("taken > 0")
+    each = F.transform("positions", lambda p, i: F.struct(p.alias("position"), F.least(F.col("size"), F.col("taken") - i * F.col("size")).cast("int").alias("words")))
+    plan = plan.groupBy(F.col("row_key").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("doc_id", each.alias("copies")))).alias("_plans"))
+    d = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))) - 1)
+    joined = d.join(plan, "_row").withColumn("_copy", F.explode(F.get("_plans", F.col("_nth"))["copies"]))
+    again = joined.withColumn(text, first_words(F.col(f"`{text}`"), F.col("_copy.words"))).orderBy("_copy.position", F.col(f"`{doc_id}`"))
+    return again.select(*names)
