@@ -56,6 +56,11 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op7's operator: signature bands joined and Jaccard verified, with a class id for every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -68,7 +73,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(EXTRA_TURNS, turns.schema)
+    rows = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, turns.schema)]) for row in EXTRA_TURNS])
+    extra = spark.range(1).select(F.inline(rows))
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
+    "minhash_classes": minhash_classes,
     "op8_inner_product_search": op8_inner_product_search,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
