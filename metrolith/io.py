@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where the session names none (tests) is one made here."""
+    """The folder in spark.checkpoint.dir. Where the session names none, one is made here, in local mode alone."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder: on a cluster it has to be one that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="metrolith-"))
         current = context.getCheckpointDir()
     return current
