@@ -6,12 +6,10 @@ is written as Parquet and read again as the next one's docs. All but the last re
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolith.io import shared_dir, table
+from metrolith.io import stored, table
 from metrolith.llm import mixing, packing, simhash, substring, toxicity
 from metrolith.llm.queries import tokenizer_path
 
@@ -36,14 +34,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of 50 that an earlier document holds go; a document of which nothing is left goes too."""
-    left = substring.dedup_substrings(docs, 50, 10, carry=("lang", "source"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    left = substring.dedup_substrings(docs, 50, 10, carry=tuple(others))
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    made = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return left.select(*[made.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs)
+    """Each document as often as the mix takes it, in the order of training; a copy that the mix cuts has its words alone."""
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from documents; what stands between two stages is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
