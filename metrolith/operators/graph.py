@@ -52,15 +52,18 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
     return digest(x) == digest(y)
 
 
-def distances(edges: DataFrame, heads: DataFrame, a: str = "a", b: str = "b", length: str = "w", max_rounds: int = 500) -> DataFrame:
+def distances(edges: DataFrame, heads: DataFrame, a: str = "a", b: str = "b", length: str = "w") -> DataFrame:
     """(node, head, distance): every node's shortest way from its nearest head along directed edges; ties to the lower head.
 
-    Rounds of relaxation from the frontier that changed: a round is a join and an aggregation.
+    Rounds of relaxation from the frontier that changed: a round is a join and an aggregation. Lengths are not negative,
+    so the rounds end, after as many as the longest of the shortest ways has hops. A negative length is an error.
     """
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(length).cast("double").alias("w")))
+    if e.where("w < 0").limit(1).count():
+        raise ValueError("an edge has a negative length")
     best = cut(heads.select(F.col(heads.columns[0]).alias("node")).distinct().select("node", F.struct(F.lit(0.0).alias("d"), F.col("node").alias("head")).alias("best")))
     front = best
-    for _ in range(max_rounds):
+    while True:
         step = front.join(e, front["node"] == e["a"]).select(F.col("b").alias("node"), F.struct((F.col("best.d") + F.col("w")).alias("d"), F.col("best.head").alias("head")).alias("best"))
         step = step.groupBy("node").agg(F.min("best").alias("new"))
         m = cut(best.join(step, "node", "full").select("node", "best", "new", (F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))).alias("better")))
@@ -68,7 +71,6 @@ def distances(edges: DataFrame, heads: DataFrame, a: str = "a", b: str = "b", le
         front = m.where("better").select("node", F.col("new").alias("best"))
         if not front.limit(1).count():
             return best.select("node", F.col("best.head").alias("head"), F.col("best.d").alias("distance"))
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
 def reachable(edges: DataFrame, start: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

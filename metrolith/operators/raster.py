@@ -85,7 +85,62 @@ def mahalanobis(cells: DataFrame, classes: DataFrame, bands: Sequence[str]) -> D
     return with_t.withColumn("_b", best).withColumn("cls", F.col("_b.cls")).withColumn("distance", F.col("_b.distance")).drop("_t", "_b")
 
 
-def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float, rounds: int = 200) -> DataFrame:
+def mahalanobis_pair(cells: DataFrame, samples: DataFrame, cls: str, x: str, y: str) -> DataFrame:
+    """The nearest class of each cell by Mahalanobis distance with full covariance over two bands; means and covariances are
+    those of the samples of each class. Classes are few, and each cell looks them all up in one array."""
+    m = samples.groupBy(F.col(cls).alias("k")).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("xx"), F.var_samp(y).alias("yy"), F.covar_samp(x, y).alias("xy"))
+    table = m.where(F.col("xx") * F.col("yy") > F.col("xy") ** 2).agg(F.array_sort(F.collect_list(F.struct("k", "mx", "my", "xx", "yy", "xy"))).alias("t"))
+    dx, dy = lambda k: F.col(x) - k["mx"], lambda k: F.col(y) - k["my"]
+    d2 = lambda k: (dx(k) ** 2 * k["yy"] - 2 * dx(k) * dy(k) * k["xy"] + dy(k) ** 2 * k["xx"]) / (k["xx"] * k["yy"] - k["xy"] ** 2)
+    best = F.array_min(F.transform("_t", lambda k: F.struct(F.sqrt(d2(k)).alias("distance"), k["k"].alias("cls"))))
+    return cells.withColumn("_t", table.scalar()).withColumn("_b", best).withColumn("nearest_class", F.col("_b.cls")).withColumn("distance", F.col("_b.distance")).drop("_t", "_b")
+
+
+def rasterise(polygons: DataFrame, size: float, key: str) -> DataFrame:
+    """(key, row, col): cells whose centre a polygon (ring: array of (x, y)) holds."""
+    from metrolith.functions.geo import inside_ring
+
+    low = lambda c: F.floor(F.array_min(F.transform("ring", lambda v: v[c])) / size).cast("long")
+    high = lambda c: F.floor(F.array_max(F.transform("ring", lambda v: v[c])) / size).cast("long")
+    p = polygons.withColumn("row", F.explode(F.sequence(low("y"), high("y")))).withColumn("col", F.explode(F.sequence(low("x"), high("x"))))
+    return p.where(inside_ring((F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size, F.col("ring"))).select(key, "row", "col")
+
+
+def window_of(x0: Column, y0: Column, x1: Column, y1: Column, size: float, snap: int, pad: int, rows: int, cols: int) -> Column:
+    """The cells (row0, col0, row1, col1, half open) that cover a box, padded, snapped outwards to multiples of `snap` and
+    clipped to a grid."""
+    low = lambda v: F.floor((F.floor(v / size) - pad) / snap) * snap
+    high = lambda v: F.ceil((F.ceil(v / size) + pad) / snap) * snap
+    clip = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n)).cast("long")
+    return F.struct(clip(low(y0), rows).alias("row0"), clip(low(x0), cols).alias("col0"), clip(high(y1), rows).alias("row1"), clip(high(x1), cols).alias("col1"))
+
+
+def mask_shares(cells: DataFrame, zone: str, masks: dict[str, Column]) -> DataFrame:
+    """Each zone's number of cells, and the share of them in every mask."""
+    return cells.groupBy(zone).agg(F.count("*").alias("cells"), *[(F.count_if(F.coalesce(m, F.lit(False))) / F.count("*")).alias(n) for n, m in masks.items()])
+
+
+def share_or_clump(cells: DataFrame, zone: str, clump: str, mask: Column, least: int) -> DataFrame:
+    """(zone, cells, share, of): the share of a zone's cells in a mask; zones of fewer than `least` cells take their clump's."""
+    z = cells.groupBy(zone, clump).agg(F.count("*").alias("cells"), F.count_if(mask).alias("hits"))
+    c = z.groupBy(clump).agg((F.sum("hits") / F.sum("cells")).alias("clump_share"))
+    few = F.col("cells") < least
+    return z.join(c, clump).select(zone, clump, "cells", F.when(few, F.col("clump_share")).otherwise(F.col("hits") / F.col("cells")).alias("share"), F.when(few, "clump").otherwise("zone").alias("of"))
+
+
+def illumination(cells: DataFrame, value: str, altitude: float, azimuth: float, size: float = 1.0) -> DataFrame:
+    """Cells that have all four neighbours, with slope, aspect (degrees from north) and the cosine of the sun's angle."""
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, i, j in (("n", 1, 0), ("s", -1, 0), ("w", 0, 1), ("e", 0, -1))]))
+    sent = cells.select("row", "col", F.col(value).alias("_v"), side.alias("s")).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "s.n", "_v")
+    at = sent.groupBy("row", "col").agg(*[F.max(F.when(F.col("n") == n, F.col("_v"))).alias(f"_{n}") for n in "nsew"]).dropna()
+    east, north = (F.col("_e") - F.col("_w")) / (2 * size), (F.col("_n") - F.col("_s")) / (2 * size)
+    d = cells.join(at, ["row", "col"]).withColumn("slope", F.degrees(F.atan(F.sqrt(east**2 + north**2)))).withColumn("aspect", F.pmod(F.degrees(F.atan2(-east, -north)), F.lit(360.0)))
+    up, turn = F.radians(F.lit(float(altitude))), F.radians(F.lit(float(azimuth)) - F.col("aspect"))
+    sun = F.sin(up) * F.cos(F.radians("slope")) + F.cos(up) * F.sin(F.radians("slope")) * F.cos(turn)
+    return d.withColumn("sun", sun).drop("_n", "_s", "_e", "_w")
+
+
+def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float) -> DataFrame:
     """Peaks from the tallest down, none closer than `spacing` to a taller one that was kept.
 
     A peak is kept once it is the tallest of all that are left around it; those around kept peaks go. Ties by key.
@@ -95,7 +150,7 @@ def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float, round
     p = cut(points.select(key, "x", "y", height))
     kept = None
     order = lambda pre="": F.struct(F.col(f"{pre}{height}"), -F.col(f"{pre}{key}"))
-    for _ in range(rounds):
+    while True:  # the tallest of all that are left is kept in every round, so this ends
         near = radius_join(p, p, spacing)
         top = near.groupBy(key).agg(F.max(order("r_")).alias("best"), F.first(order()).alias("own")).where("best = own").select(key)
         now = cut(p.join(top, key, "left_semi"))
@@ -104,4 +159,3 @@ def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float, round
         p = cut(p.join(gone, key, "left_anti"))
         if not p.limit(1).count():
             return kept
-    raise RuntimeError("peaks did not end")

@@ -23,9 +23,11 @@ def merge_versions(held: DataFrame, snapshot: DataFrame, seen_at: Column, comple
     key = ["source", "source_id", "version_hash"]
     new = snapshot.groupBy(*key).agg(F.min("payload").alias("new_payload"))
     seen = F.col("new_payload").isNotNull()
-    # Sources of the snapshot are few; only they retire versions.
-    of = F.col("source").isin([r["source"] for r in snapshot.select("source").distinct().collect()]) if complete else F.lit(False)
     m = held.join(new, key, "full")
+    of = F.lit(False)
+    if complete:  # only sources of the snapshot retire versions
+        m = m.join(snapshot.select("source").distinct().withColumn("_of", F.lit(True)), "source", "left")
+        of = F.coalesce("_of", F.lit(False))
     return m.select(
         *key, F.coalesce("payload", "new_payload").alias("payload"),
         F.coalesce(F.col("first_seen"), seen_at).alias("first_seen"),
@@ -120,8 +122,9 @@ def is_republish(old: DataFrame, new: DataFrame, share: float = 0.5) -> DataFram
 
 
 def content_digest(df: DataFrame, group: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """md5 of each group's rows, written out in order: a version for caches."""
-    row = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    """A version of each group for caches: the md5 of its rows' md5s, written out in order. Rows are hashed before they
+    meet, so a group gathers a few bytes for each row."""
+    row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
     rows = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], row.alias("_row"))))
     return df.groupBy(*group).agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(rows, lambda r: r["_row"]), ",")).alias("digest"))
 
@@ -148,3 +151,9 @@ def changed_sources(state: DataFrame, signature: DataFrame, key: str, columns: S
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return s.where(~same).select(signature.columns)
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """The keys of both, the second's values over the first's; null values go."""
+    kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
+    return F.map_filter(F.map_concat(kept, b), lambda k, v: v.isNotNull())

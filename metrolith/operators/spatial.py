@@ -85,28 +85,48 @@ def densify(lines: DataFrame, line: str, step: float, points: str = "points") ->
         (F.col("_len") / F.col("_n")).alias("len"), geo.bearing(F.col("_dx"), F.col("_dy")).alias("bearing"))
 
 
-def match_lines(targets: DataFrame, lines: DataFrame, near: float, step: float, min_share: float = 0.6, max_bearing: float = 20.0, names_agree: Column | None = None) -> DataFrame:
-    """Lines that run along a target: (target, line, share, overlap_m, bearing_diff, confidence).
+def covered(these: DataFrame, others: DataFrame, this: str, other: str, near: float, step: float) -> DataFrame:
+    """(this, other, share, overlap_m, bearing_diff): how much of each line lies within `near` of another, and how their
+    bearings differ there, weighted by length. A closed line (its first point is its last) has the difference of its worst
+    quarter, so that a loop is not taken for a line that it only crosses."""
+    w = Window.partitionBy("this")
+    t = densify(these.withColumnRenamed(this, "this"), "this", step)
+    t = t.withColumn("at", F.sum("len").over(w.orderBy("seg", "i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("len") / 2).withColumn("length_m", F.sum("len").over(w))
+    closed = these.select(F.col(this).alias("this"), (F.element_at("points", 1) == F.element_at("points", -1)).alias("closed"))
+    t = t.join(closed, "this").withColumn("quarter", F.when(F.col("closed"), F.floor(4 * F.col("at") / F.col("length_m")).cast("int")).otherwise(0)).drop("closed")
+    t = t.withColumnRenamed("len", "t_len").withColumnRenamed("bearing", "t_bearing")
+    l = densify(others, other, step).select(F.col(other).alias("other"), "x", "y", F.col("bearing").alias("l_bearing"))
+    diff = F.min_by(geo.bearing_diff(F.col("t_bearing"), F.col("r_l_bearing")), F.struct("d", "r_x", "r_y"))
+    best = radius_join(t, l, near).groupBy("this", "seg", "i", F.col("r_other").alias("other")).agg(F.first("t_len").alias("t_len"), F.first("quarter").alias("quarter"), F.first("length_m").alias("length_m"), diff.alias("diff"))
+    got = best.groupBy("this", "other", "quarter").agg(F.sum("t_len").alias("m"), (F.sum(F.col("diff") * F.col("t_len")) / F.sum("t_len")).alias("diff"), F.first("length_m").alias("length_m"))
+    got = got.groupBy("this", "other").agg(F.sum("m").alias("overlap_m"), F.max("diff").alias("bearing_diff"), F.first("length_m").alias("length_m"))
+    return got.select(F.col("this").alias(this), F.col("other").alias(other), (F.col("overlap_m") / F.col("length_m")).alias("share"), "overlap_m", "bearing_diff", "length_m")
+
+
+def match_lines(targets: DataFrame, lines: DataFrame, near: float, step: float, min_share: float = 0.6, max_bearing: float = 20.0, names_agree: Column | None = None,
+                min_line: float | None = None) -> DataFrame:
+    """Lines that run along a target: (target, line, share, overlap_m, bearing_diff, confidence, of).
 
     Both are densified; a target's point is covered by a line if one of that line's points lies within `near` of it. The
     share is the covered part of the target's length, the bearing difference that of the covered points, weighted by
     length. A pair matches from min_share on if its bearings differ by max_bearing at most; confidence is the share times
-    the cosine of the difference, halved where names (columns target_name, line_name) are known to differ.
+    the cosine of the difference, halved where names (columns target_name, line_name) are known to differ. With min_line,
+    a pair below min_share still matches if the line is that long and has min_share of its own length along the target:
+    `of` says whose share counted, the target's or the line's, and share, overlap and bearings are its.
     """
-    t = densify(targets, "target", step).withColumnRenamed("len", "t_len").withColumnRenamed("bearing", "t_bearing")
-    l = densify(lines, "line", step).select("line", "x", "y", F.col("bearing").alias("l_bearing"))
-    pairs = radius_join(t, l, near)
-    best = pairs.groupBy("target", "seg", "i", F.col("r_line").alias("line")).agg(F.first("t_len").alias("t_len"), F.min_by(geo.bearing_diff(F.col("t_bearing"), F.col("r_l_bearing")), F.struct("d", "r_x", "r_y")).alias("diff"))
-    got = best.groupBy("target", "line").agg(F.sum("t_len").alias("overlap_m"), (F.sum(F.col("diff") * F.col("t_len")) / F.sum("t_len")).alias("bearing_diff"))
-    whole = t.groupBy("target").agg(F.sum("t_len").alias("length_m"))
-    got = got.join(whole, "target").withColumn("share", F.col("overlap_m") / F.col("length_m"))
+    got = covered(targets, lines, "target", "line", near, step).withColumn("of", F.lit("target"))
+    if min_line is not None:
+        back = covered(lines, targets, "line", "target", near, step).where(F.col("length_m") >= min_line).withColumn("of", F.lit("line"))
+        mine = got.where(F.col("share") >= min_share).select("target", "line")
+        got = got.where(F.col("share") >= min_share).unionByName(back.join(mine, ["target", "line"], "left_anti"))
+    got = got.drop("length_m")
     if "target_name" in targets.columns and "line_name" in lines.columns and names_agree is not None:
         got = got.join(targets.select("target", "target_name"), "target").join(lines.select("line", "line_name"), "line")
         factor = F.when(names_agree == F.lit(False), 0.5).otherwise(1.0)
     else:
         factor = F.lit(1.0)
     got = got.where((F.col("share") >= min_share) & (F.col("bearing_diff") <= max_bearing))
-    return got.select("target", "line", "share", "overlap_m", "bearing_diff", F.round(F.least("share", F.lit(1.0)) * F.cos(F.radians("bearing_diff")) * factor, 3).alias("confidence"))
+    return got.select("target", "line", "share", "overlap_m", "bearing_diff", F.round(F.least("share", F.lit(1.0)) * F.cos(F.radians("bearing_diff")) * factor, 3).alias("confidence"), "of")
 
 
 def shared_area(a: DataFrame, b: DataFrame, size: float, a_id: str, b_id: str) -> DataFrame:
@@ -123,7 +143,7 @@ def shared_area(a: DataFrame, b: DataFrame, size: float, a_id: str, b_id: str) -
     return both.join(x.groupBy(a_id).agg(F.count("*").alias("cells")), a_id).select(a_id, b_id, (F.col("n") * size * size).alias("area"), (F.col("n") / F.col("cells")).alias("share"))
 
 
-def greedy_pairs(candidates: DataFrame, left: str, right: str, cost: str, rounds: int = 200) -> DataFrame:
+def greedy_pairs(candidates: DataFrame, left: str, right: str, cost: str) -> DataFrame:
     """One-to-one pairs as the greedy choice of the globally cheapest pair would have them.
 
     A pair is taken once it is the cheapest of both its ends; rounds repeat on what is left. That gives the greedy
@@ -133,7 +153,7 @@ def greedy_pairs(candidates: DataFrame, left: str, right: str, cost: str, rounds
 
     order = F.struct(cost, left, right)
     c, taken = cut(candidates.select(left, right, cost)), None
-    for _ in range(rounds):
+    while True:  # the cheapest pair of all is taken in every round, so this ends
         best_l = c.groupBy(left).agg(F.min(order).alias("o")).select("o.*")
         best_r = c.groupBy(right).agg(F.min(order).alias("o")).select("o.*")
         now = cut(best_l.join(best_r, [left, right, cost]).select(left, right, cost))
@@ -141,7 +161,17 @@ def greedy_pairs(candidates: DataFrame, left: str, right: str, cost: str, rounds
         c = cut(c.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
         if not c.limit(1).count():
             return taken
-    raise RuntimeError("greedy pairing did not end")
+
+
+def stable_ids(old: DataFrame, new: DataFrame, key: str, radius: float) -> DataFrame:
+    """(new_id, old_id, how): ids that things keep from one edition to the next. Those with the same key (once on each
+    side) come first, then the closest pairs within the radius of what is left, greedily; both editions have id, key, x, y."""
+    once = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    same = once(new, "new_id").join(once(old, "old_id"), key).select("new_id", "old_id", F.lit("key").alias("how"))
+    rest_new = new.join(same.select(F.col("new_id").alias("id")), "id", "left_anti").select("id", "x", "y")
+    rest_old = old.join(same.select(F.col("old_id").alias("id")), "id", "left_anti").select("id", "x", "y")
+    near = radius_join(rest_new, rest_old, radius).select(F.col("id").alias("new_id"), F.col("r_id").alias("old_id"), "d")
+    return same.union(greedy_pairs(near, "new_id", "old_id", "d").select("new_id", "old_id", F.lit("near").alias("how")))
 
 
 def clusters(points: DataFrame, key: str, radius: float, same: Sequence[str] = ()) -> DataFrame:
@@ -184,6 +214,13 @@ def apart(rows: DataFrame, from_: DataFrame, radius: float, key: str) -> DataFra
     return rows.join(radius_join(rows, from_, radius).select(key).distinct(), key, "left_anti")
 
 
+def misses(lines: DataFrame, matches: DataFrame, targets: DataFrame, near: float, step: float, line: str = "line") -> DataFrame:
+    """(line, near): lines without a match, and whether any target lies within `near`: a real miss, or a line elsewhere."""
+    rest = lines.join(matches.select(line), line, "left_anti")
+    close = radius_join(densify(rest, line, step), densify(targets, "target", step), near).select(line).distinct().withColumn("near", F.lit(True))
+    return rest.select(line).join(close, line, "left").select(line, F.coalesce("near", F.lit(False)).alias("near"))
+
+
 def coverage(targets: DataFrame, matches: DataFrame, source: str, target: str = "target") -> DataFrame:
     """By source: targets, those with a match, matches, the share that is covered."""
     m = targets.select(target, source).join(matches.select(target, F.lit(1).alias("_m")), target, "left")

@@ -164,3 +164,23 @@ def looked_up(df: DataFrame, tables: Sequence[tuple[DataFrame, str, str]], value
 def visible(df: DataFrame, cls: str, least_zoom: dict[str, int], zoom: int) -> DataFrame:
     """Rows whose class shows at a zoom; classes that aren't listed never do."""
     return df.where(F.col(cls).isin([c for c, z in least_zoom.items() if z <= zoom]))
+
+
+def sweep(df: DataFrame, keys: Sequence[str], value: str, thresholds: Sequence[float], weight: str) -> DataFrame:
+    """For each of some thresholds how many rows of a key it keeps and drops, and the weight that it keeps.
+
+    One pass: the thresholds are columns of the aggregation, no row is repeated for them.
+    """
+    keep = lambda t: F.col(value) >= t
+    each = [F.struct(F.lit(float(t)).alias("threshold"), F.count_if(keep(t)).alias("kept"), F.count_if(~keep(t)).alias("dropped"), F.coalesce(F.sum(F.when(keep(t), F.col(weight))), F.lit(0.0)).alias("weight")).alias(f"t{i}") for i, t in enumerate(thresholds)]
+    d = df.groupBy(*keys).agg(*each)
+    return d.select(*keys, F.inline(F.array(*[F.col(f"t{i}") for i in range(len(thresholds))])))
+
+
+def year_columns(wide: DataFrame, key: str, pattern: str) -> DataFrame:
+    """(key, year, measure, value): columns whose names tell a measure and a year, as rows; empty ones make none."""
+    import re
+
+    told = [(c, m) for c in wide.columns if (m := re.match(pattern, c))]
+    rows = F.array(*[F.struct(F.lit(int(m[2])).alias("year"), F.lit(m[1].lower()).alias("measure"), F.col(c).alias("value")) for c, m in told])
+    return wide.select(key, F.inline(rows)).where("value is not null")

@@ -160,7 +160,7 @@ def stable_key_suffix(spark, sf):
     return records.suffix_keys(p, "p_brand", ["p_type", "p_size"]).drop("content_hash")
 
 
-@query("""SELECT n_regionkey, count(*) AS n, md5(string_agg(concat_ws('|', n_nationkey, n_name), ',' ORDER BY n_nationkey)) AS digest FROM nation GROUP BY 1""")
+@query("""SELECT n_regionkey, count(*) AS n, md5(string_agg(md5(concat_ws('|', n_nationkey, n_name)), ',' ORDER BY n_nationkey)) AS digest FROM nation GROUP BY 1""")
 def content_digest(spark, sf):
     return records.content_digest(table(spark, sf, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"])
 
@@ -391,17 +391,11 @@ def greedy_assignment(spark, sf):
     return spatial.greedy_pairs(near.select(F.col("id").alias("l"), F.col("r_id").alias("r"), F.round("d", 6).alias("d")), "l", "r", "d")
 
 
-def _lines(spark, sf):
-    """Each order's items as a line: quantities against line numbers."""
-    li = table(spark, sf, "lineitem")
-    v = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")))).alias("v")).where("size(v) >= 2")
-    return v.select(F.col("l_orderkey").alias("id"), F.transform("v", lambda s: F.struct((s["n"] * 40.0).alias("x"), s["q"].alias("y"))).alias("points"))
-
-
 @query()
 def line_match(spark, sf):
-    l = _lines(spark, sf)
-    return spatial.match_lines(l.select(F.col("id").alias("target"), "points"), l.select(F.col("id").alias("line"), "points"), 12.0, 10.0).where("target <> line")
+    """All orders' lines against each other, by the target's share or the line's."""
+    l = _tracks(spark, sf)
+    return spatial.match_lines(l.withColumnRenamed("line", "target"), l, 12.0, 20.0, min_line=20.0).where("target <> line")
 
 
 @query("""SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')""")
@@ -427,11 +421,11 @@ def full_outer_sides(spark, sf):
     return m.withColumn("divided", F.col("a_q").isNotNull() & F.col("d_q").isNotNull())
 
 
-@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM n GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part) SELECT key, count(*) AS n, min(p_partkey) AS first FROM n GROUP BY 1 HAVING count(*) > 1""")
 def name_normalise_join(spark, sf):
-    """Records that share a normalised name: here, the beginning of a text."""
-    d = table(spark, sf, "documents").select("doc_id", names.name_key(F.substring("text", 1, 60)).alias("key"))
-    return d.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    """Records that share a normalised name."""
+    d = table(spark, sf, "part").select("p_partkey", names.name_key(F.col("p_name")).alias("key"))
+    return d.groupBy("key").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
 
 
 # --- views ---------------------------------------------------------------------------------------------------------
@@ -635,10 +629,12 @@ def html_listing_extract(spark, sf):
     return links(table(spark, sf, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"), F.min("href").alias("first_link"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7) % 25 AS b FROM customer WHERE c_custkey < 40), r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 25) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey // 3 AS a, c_custkey AS b FROM customer UNION SELECT c_custkey, c_custkey + c_nationkey FROM customer), r(node, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 20) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
 def graph_reach(spark, sf):
-    e = table(spark, sf, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("a"), ((F.col("c_custkey") * 7) % 25).alias("b")).distinct()
-    return graph.reachable(e, spark.range(1).select(F.col("id").alias("node")))
+    """Every customer has an edge from the one of a third of its number, and one to a later one; none is further than 20 steps."""
+    c = table(spark, sf, "customer")
+    e = c.select(F.expr("c_custkey div 3").alias("a"), F.col("c_custkey").alias("b")).union(c.select("c_custkey", F.col("c_custkey") + F.col("c_nationkey"))).distinct()
+    return graph.reachable(e, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_nationkey AS a, (c_custkey * 7) % 25 AS b, min(CAST(round(abs(c_acctbal) * 100) AS BIGINT)) AS w FROM customer GROUP BY 1, 2), d(node, dist, i) AS (SELECT n, CASE WHEN n = 0 THEN 0 ELSE 1000000000000 END, 0 FROM range(25) t(n) UNION ALL SELECT * FROM (SELECT x.node, least(x.dist, coalesce(min(y.dist + e.w), 1000000000000)) AS dist, x.i + 1 AS i FROM d x LEFT JOIN e ON e.b = x.node LEFT JOIN d y ON y.node = e.a GROUP BY x.node, x.dist, x.i) WHERE i <= 25)
@@ -748,7 +744,7 @@ def stream_lifecycle(spark, sf):
     return t.at(t.versions[-1]).drop("content_hash")
 
 
-@query()
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS ts, event_id AS id, 'newest' AS placed FROM events""")
 def stream_late_rows(spark, sf):
     s = streams.file_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("id"))
     return streams.run_available(streams.mark_late(s), "append")
@@ -765,25 +761,27 @@ def stream_gauge(spark, sf):
 
 # --- more of the same kinds ----------------------------------------------------------------------------------------
 
-SEGS = """v AS (SELECT l_orderkey AS id, l_linenumber AS n, max(l_quantity) AS q FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1, 2), s AS (SELECT id, n * 40.0 AS x0, q AS y0, lead(n) OVER w * 40.0 AS x1, lead(q) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY n)), g AS (SELECT * FROM s WHERE x1 IS NOT NULL)"""
+SEGS = """v AS (SELECT l_orderkey AS id, l_linenumber AS n, (l_orderkey % 400) * 60.0 + l_linenumber * 40.0 AS x, (l_orderkey // 400) * 10.0 + max(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
+s AS (SELECT id, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(lead(x) OVER w AS DOUBLE) AS x1, CAST(lead(y) OVER w AS DOUBLE) AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY n)), g AS (SELECT * FROM s WHERE x1 IS NOT NULL)"""
 
 
 def _tracks(spark, sf):
+    """Each order's items as a line: quantities against line numbers, every order at a place of its own."""
     v = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"))
     v = v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "q"))).alias("v")).where("size(v) >= 2")
-    return v.select(F.col("id").alias("line"), F.transform("v", lambda s: F.struct((s["n"] * 40.0).alias("x"), s["q"].alias("y"))).alias("points"))
+    return v.select(F.col("id").alias("line"), F.transform("v", lambda s: F.struct(((F.col("id") % 400) * 60.0 + s["n"] * 40.0).alias("x"), (F.floor(F.col("id") / 400) * 10.0 + s["q"]).alias("y"))).alias("points"))
 
 
-@query(f"""WITH {SEGS}, c AS (SELECT a.id AS a, b.id AS b, a.x0, a.y0, a.x1 - a.x0 AS ux, a.y1 - a.y0 AS uy, b.x1 - b.x0 AS vx, b.y1 - b.y0 AS vy, b.x0 - a.x0 AS wx, b.y0 - a.y0 AS wy FROM g a JOIN g b ON a.id < b.id),
+@query(f"""WITH {SEGS}, c AS (SELECT a.id AS a, b.id AS b, a.x0, a.y0, a.x1 - a.x0 AS ux, a.y1 - a.y0 AS uy, b.x1 - b.x0 AS vx, b.y1 - b.y0 AS vy, b.x0 - a.x0 AS wx, b.y0 - a.y0 AS wy FROM g a JOIN g b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND least(a.y0, a.y1) <= greatest(b.y0, b.y1) AND least(b.y0, b.y1) <= greatest(a.y0, a.y1)),
 t AS (SELECT *, (wx * vy - wy * vx) / nullif(ux * vy - uy * vx, 0) AS t, (wx * uy - wy * ux) / nullif(ux * vy - uy * vx, 0) AS u FROM c) SELECT a, b, count(*) AS n, round(min(x0 + t * ux), 4) AS first_x FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 GROUP BY 1, 2""")
 def line_crossings(spark, sf):
-    c = spatial.crossings(_tracks(spark, sf).where("line % 97 = 0"), "line", 25.0)
+    c = spatial.crossings(_tracks(spark, sf), "line", 25.0)
     return c.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.min("x"), 4).alias("first_x"))
 
 
 @query()
 def line_neighbours(spark, sf):
-    return spatial.neighbours(_tracks(spark, sf), 8.0, 10.0, 40.0)
+    return spatial.neighbours(_tracks(spark, sf), 8.0, 20.0, 40.0)
 
 
 @query(f"""WITH p AS ({PTS}) SELECT a.id FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.kind = 3 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 30) AND a.kind <> 3""")
@@ -810,7 +808,10 @@ def zoom_visibility(spark, sf):
     return stats.visible(table(spark, sf, "part"), "p_type", {"SMALL": 8, "LARGE": 10, "ECONOMY": 14}, 12).select("p_partkey", "p_type")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS k FROM orders),
+r AS (SELECT o_custkey, k, o_orderkey, o_totalprice <= 500000.0 AS taken, CASE WHEN o_totalprice <= 500000.0 THEN 500000.0 - o_totalprice ELSE 500000.0 END AS rest FROM o WHERE k = 1
+  UNION ALL SELECT o.o_custkey, o.k, o.o_orderkey, o.o_totalprice <= r.rest, CASE WHEN o.o_totalprice <= r.rest THEN r.rest - o.o_totalprice ELSE r.rest END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.k = r.k + 1)
+SELECT o.o_custkey, o.o_orderpriority, o.o_orderkey, o.o_totalprice FROM r JOIN o USING (o_custkey, k) WHERE taken""")
 def budget_with_skips(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
     return stats.spend_skipping(o, ["o_custkey"], ["o_orderpriority", "o_orderkey"], "o_totalprice", 500_000.0)
@@ -825,7 +826,7 @@ def overlap_shares(spark, sf):
     return s.withColumn("share", F.round("share", 6))
 
 
-@query()
+@query("""SELECT p_partkey, true AS agree FROM part""")
 def street_names_agree(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("N "), F.col("p_name"), F.lit(" Road")).alias("a"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(" Rd")).alias("b"))
     return p.select("p_partkey", names.names_agree(F.col("a"), F.col("b")).alias("agree"))
@@ -855,3 +856,6 @@ def sql_functions(spark, sf):
     register_functions(spark)
     p = table(spark, sf, "part").withColumn("tag", F.when(F.col("p_size") % 3 == 0, "asphalt").when(F.col("p_size") % 3 == 1, "compacted").otherwise("x"))
     return p.select(F.expr("surface_class(tag)").alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
+
+
+from metrolith.plans import builds  # noqa: E402, F401  (registers its queries here)

@@ -100,3 +100,8 @@ def crop_years(fields: DataFrame, key: str, first_year: int, crops: str) -> Data
 def fade(seasons: Column, steps: int = 3) -> Column:
     """How much of a scar still shows after so many growing seasons."""
     return F.greatest(F.lit(0.0), (steps - seasons) / steps)
+
+
+def clamped(text: Column, least: int, most: int, default: int) -> Column:
+    """A number that a request gives as text, within its bounds; the default where it is none."""
+    return F.least(F.greatest(F.coalesce(text.try_cast("int"), F.lit(default)), F.lit(least)), F.lit(most))

@@ -79,9 +79,21 @@ class SnapshotTable:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.versions: list[int] = []
-        self.digests: dict[int, tuple] = {}
-        self.heartbeats: list = []
+
+    def _logged(self) -> list[tuple[int, int, str]]:
+        """(batch, the version that holds it, its digest), as the folder has them: a stream that starts again goes on."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return []
+        return sorted((r["epoch"], r["version"], r["digest"]) for r in self.spark.read.schema("version int, digest string, epoch int").parquet(f"{self.root}/log").collect())  # a row a batch
+
+    @property
+    def versions(self) -> list[int]:
+        return sorted({v for _, v, _ in self._logged()})
+
+    @property
+    def heartbeats(self) -> list[int]:
+        return [e for e, _, _ in self._logged()]
 
     def at(self, version: int | None) -> DataFrame:
         if version is None:
@@ -90,15 +102,15 @@ class SnapshotTable:
 
     def merge(self, snapshot: DataFrame, epoch: int, seen_at: Column) -> bool:
         """Whether the snapshot changed anything."""
-        before = max((v for v in self.versions if v < epoch), default=None)
-        digest = tuple(snapshot.agg(F.count("*"), F.sum(F.xxhash64("source_id", "content_hash").cast("decimal(38,0)"))).first())
-        self.heartbeats.append(epoch)
-        if before is not None and self.digests.get(before) == digest:
+        before, held = max(((v, d) for e, v, d in self._logged() if e < epoch), default=(None, None))
+        digest = str(tuple(snapshot.agg(F.count("*"), F.sum(F.xxhash64("source_id", "content_hash").cast("decimal(38,0)"))).first()))
+        log = lambda version: self.spark.range(1).select(F.lit(version).alias("version"), F.lit(digest).alias("digest")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/epoch={epoch}")
+        if held == digest:
+            log(before)
             return False
         merged = lifecycle.merge_snapshot(self.at(before), snapshot, seen_at).drop("state")
         merged.write.mode("overwrite").parquet(f"{self.root}/v{epoch}")
-        self.versions = sorted({*self.versions, epoch})
-        self.digests[epoch] = digest
+        log(epoch)
         return True
 
 
@@ -106,18 +118,20 @@ LATE = "key string, ts double, id long, placed string"
 
 
 def mark_late(stream: DataFrame) -> DataFrame:
-    """Rows of (key, ts, id), each placed: newest, or late if a newer row of its key came in an earlier batch.
+    """Rows of (key, ts, id), each placed: newest; late, if earlier batches had both newer and older rows of its key; or
+    earlier, if it is older than all of them: such rows make a chain of their own, which joins the oldest.
 
-    State is one number for each key.
+    State is two numbers for each key.
     """
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else float("-inf")
+        newest, oldest = state.get if state.exists else (float("-inf"), float("-inf"))
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        placed = ["late" if t < newest else "newest" for t in rows["ts"]]
-        state.update((max(newest, float(rows["ts"].max())),))
+        placed = ["newest" if t >= newest else "earlier" if t < oldest else "late" for t in rows["ts"]]
+        first = float(rows["ts"].min())
+        state.update((max(newest, float(rows["ts"].max())), min(oldest, first) if state.exists else first))
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "id": rows["id"], "placed": placed})
 
-    return stream.select("key", "ts", "id").groupBy("key").applyInPandasWithState(place, LATE, "newest double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("key", "ts", "id").groupBy("key").applyInPandasWithState(place, LATE, "newest double, oldest double", "append", GroupStateTimeout.NoTimeout)
 
 
 GAUGE = "key string, state string, since double"
