@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,43 +59,40 @@ def _unpack(packed: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-CHUNK = "chunk long, doc_ids array<long>, targets array<boolean>, sizes array<long>, words binary, tokens binary, n long, n_target long, starts long, starts_target long"
+CHUNK = "chunk long, doc_ids array<long>, sizes array<long>, words binary, tokens binary, n long, starts long"
 
 
-def _chunks(marked: DataFrame) -> DataFrame:
-    """A row for each chunk of (doc_id, is target, text): its documents, its words by falling count, and its tokens by place there."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """A row for each chunk of (doc_id, text): its documents, its words by falling count, and its tokens by place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def whole() -> pa.RecordBatch:
             ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
-            target, sizes, h = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            sizes, h = (np.concatenate([x[i] for x in held]) for i in (1, 2))
             words, at, times = np.unique(h, return_inverse=True, return_counts=True)
             order = np.argsort(-times, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             row = {
-                "chunk": (task << 32) + made, "doc_ids": ids.to_pylist(), "targets": target.tolist(), "sizes": sizes.tolist(),
-                "words": _pack(np.diff(words[order], prepend=np.uint64(0))), "tokens": _pack(place[at]), "n": len(h),
-                "n_target": int(sizes[target].sum()), "starts": int((sizes > 0).sum()), "starts_target": int((sizes[target] > 0).sum()),
+                "chunk": (task << 32) + made, "doc_ids": ids.to_pylist(), "sizes": sizes.tolist(),
+                "words": _pack(np.diff(words[order], prepend=np.uint64(0))), "tokens": _pack(place[at]), "n": len(h), "starts": int((sizes > 0).sum()),
             }
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for batch in (b for whole in batches for b in by_size(whole, 2)):
-            targets = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            h, sizes = token_hashes(texts)
-            held.append((batch.column(0), targets, sizes, h))
-            if sum(len(x[3]) for x in held) >= CHUNK_TOKENS:
+        for batch in (b for part in batches for b in by_size(part, 1)):
+            h, sizes = token_hashes([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            held.append((batch.column(0), sizes, h))
+            if sum(len(x[2]) for x in held) >= CHUNK_TOKENS:
                 yield whole()
                 held, made = [], made + 1
         if held:
             yield whole()
 
-    return marked.mapInArrow(lean(run), CHUNK)
+    return docs.mapInArrow(lean(run), CHUNK)
 
 
 class _Grams:
@@ -136,22 +134,31 @@ def _in_own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
     return times[at].astype(np.float64)
 
 
-def _asked(chunks: DataFrame, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk, targets, sizes, words, tokens = (batch.column(i)[k].as_py() for i in range(5))
-                sizes = np.array(sizes, np.int64)
-                g = _Grams(words, tokens, sizes)
-                counts = g.counts(np.repeat(np.array(targets, bool), sizes))
-                bucket = (g.keys >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else []
-                out = [(int(bucket[lo]), chunk, _pack(np.diff(g.keys[lo:hi], prepend=np.uint64(0))), _pack(counts[:, lo:hi].reshape(-1))) for lo, hi in zip(cuts, cuts[1:])]
-                for lo in range(0, len(out), 64):
-                    columns = zip(*out[lo : lo + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
-
-    return chunks.select("chunk", "targets", "sizes", "words", "tokens").mapInArrow(lean(run), "bucket int, chunk long, keys binary, counts binary")
+def _is_target(places: pa.Table, n: int) -> np.ndarray:
+    """Which of a chunk's n documents are the target, from its row of places, if it has one."""
+    out = np.zeros(n, bool)
+    for at in places["places"].to_pylist():
+        out[at] = True
+    return out
+
+
+def _asked(chunks: DataFrame, targets: DataFrame, bits: int) -> DataFrame:
+    kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
+        out = []
+        for row in docs.to_pylist():
+            sizes = np.array(row["sizes"], np.int64)
+            g = _Grams(row["words"], row["tokens"], sizes)
+            counts = g.counts(np.repeat(_is_target(places, len(sizes)), sizes))
+            bucket = (g.keys >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else []
+            out += [(int(bucket[lo]), row["chunk"], _pack(np.diff(g.keys[lo:hi], prepend=np.uint64(0))), _pack(counts[:, lo:hi].reshape(-1))) for lo, hi in zip(cuts, cuts[1:])]
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.table({c: pa.array(v, type=t) for (c, t), v in zip(kinds.items(), columns)})
+
+    docs = chunks.select("chunk", "sizes", "words", "tokens").groupBy("chunk")
+    return docs.cogroup(targets.groupBy("chunk")).applyInArrow(run, "bucket int, chunk long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -173,24 +180,33 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(add, "bucket int, chunk long, totals binary, words long")
 
 
-def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of (doc_id, is target, text): mean losses in bits per token,
-    and their difference. Rows are scored without their own counts; repeated rows count for each other.
+def score(docs: DataFrame, target_ids: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of (doc_id, text): mean losses in bits per token, and their
+    difference. Rows whose id is among the distinct target_ids are the target. Rows are scored without their own counts;
+    repeated rows count for each other.
 
     Null and empty texts have no tokens and zeros. Null doc_ids and repeated rows keep their rows. Very long texts are
     scored whole. Empty tables give empty results.
     """
-    chunks = stored(_chunks(marked))
-    known = chunks.agg(F.count("*").alias("chunks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target", "starts", "starts_target")]).first()
+    chunks = stored(_chunks(docs))
+    # Ids grow with the corpus: they are joined by sorting at every size, and without the texts, which stay in their chunks.
+    places = chunks.select("chunk", F.posexplode("doc_ids").alias("place", "id"), "sizes").select("chunk", "place", "id", F.get("sizes", F.col("place")).alias("size"))
+    found = places.join(target_ids.hint("merge"), F.col("id") == F.col(target_ids.columns[0]))
+    targets = stored(found.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.sum("size").alias("n_target"), F.count_if(F.col("size") > 0).alias("starts_target")))
+    total = lambda *names: [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
+    known = chunks.agg(F.count("*").alias("chunks"), *total("n", "starts")).first().asDict() | targets.agg(*total("n_target", "starts_target")).first().asDict()
+    targets = targets.select("chunk", "places")
     bits = (max(LEAST_BUCKETS, known["chunks"] // 2) - 1).bit_length()
-    answers = stored(_answered(_asked(chunks, bits)))
+    answers = stored(_answered(_asked(chunks, targets, bits)))
     vocabulary = max(1 << word_bits, (answers.agg(F.sum("words")).first()[0] or 0) + 1)
     mass, starts = (known["n"], known["n_target"]), (known["starts"], known["starts_target"])
     share = mass[1] / max(mass[0], 1)  # matched mass
 
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         out = []
-        by_bucket = [_unpack(x, "<u8").reshape(4, -1) for x in totals.sort_by("bucket")["totals"].to_pylist()]
+        given = totals.filter(pc.is_valid(totals["totals"])).sort_by("bucket")
+        by_bucket = [_unpack(x, "<u8").reshape(4, -1) for x in given["totals"].to_pylist()]
+        places = totals.filter(pc.is_valid(totals["places"]))
         for row in docs.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
             g = _Grams(row["words"], row["tokens"], sizes)
@@ -200,7 +216,7 @@ def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS)
             n, ends, means = len(g.hashes), np.concatenate([[0], np.cumsum(sizes)]), []
             doc = np.repeat(np.arange(len(sizes)), sizes)
             own = [_in_own(doc, x) for x in (g.token, g.before, g.pair)]
-            target = np.array(row["targets"], bool)
+            target = _is_target(places, len(sizes))
             for side, scale in ((1, 1.0), (0, share)):
                 in_model = 1.0 if side == 0 else target[doc].astype(np.float64)
                 word = (total[side, :n][g.token] - own[0] * in_model) * scale
@@ -214,8 +230,9 @@ def score(marked: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in ("target_loss", "background_loss", "score"))])
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    docs = chunks.select("chunk", "doc_ids", "targets", "sizes", "words", "tokens").groupBy("chunk")
-    return docs.cogroup(answers.select("chunk", "bucket", "totals").groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    docs = chunks.select("chunk", "doc_ids", "sizes", "words", "tokens").groupBy("chunk")
+    told = answers.select("chunk", "bucket", "totals").unionByName(targets, allowMissingColumns=True)
+    return docs.cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -225,6 +242,4 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str
     """
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("_target_id")).where("_target_id is not null").distinct()
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # Ids grow with the corpus: the join is one by sorting at every size, and texts are dealt out once.
-    marked = d.join(ids.hint("merge"), F.col("doc_id") == F.col("_target_id"), "left")
-    return score(marked.select("doc_id", F.col("_target_id").isNotNull().alias("target"), "text"), **kw)
+    return score(d, ids, **kw)
