@@ -206,3 +206,35 @@ def test_nearest_in_turn(spark):
     places = spark.createDataFrame([(10, 5.0, 0.0, "Oak"), (11, 30.0, 0.0, "Main"), (12, 130.0, 0.0, "Pine")], "id int, x double, y double, street string")
     got = spatial.nearest_in_turn(cams, places, [(80.0, F.col("street") == F.col("r_street")), (50.0, None)], "id", ["r_id"]).collect()
     assert {r.id: (r.r_id, r["try"]) for r in got} == {1: (11, 0), 2: (12, 1)}
+
+
+def test_match_by_either_share(spark):
+    """A short line along a long target counts by its own share; a loop that a line crosses does not, by its worst quarter."""
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    schema = "array<struct<x:double,y:double>>"
+    targets = spark.createDataFrame([("long", line((0, 0), (400, 0))), ("loop", line((0, 100), (40, 100), (40, 140), (0, 140), (0, 100)))], f"target string, points {schema}")
+    lines = spark.createDataFrame([("side", line((100, 3), (160, 3))), ("stub", line((200, 3), (210, 3))), ("across", line((-40, 120), (80, 120))), ("same", line((0, 101), (40, 101), (40, 141), (0, 141), (0, 101)))], f"line string, points {schema}")
+    got = {(r.target, r.line): (r.of, round(r.share, 3)) for r in spatial.match_lines(targets, lines, 6.0, 5.0, min_line=20.0).collect()}
+    assert got == {("long", "side"): ("line", 1.0), ("loop", "same"): ("target", 1.0)}
+    assert {(r.target, r.line) for r in spatial.match_lines(targets, lines, 6.0, 5.0).collect()} == {("loop", "same")}
+    m = spatial.match_lines(targets, lines, 6.0, 5.0, min_line=20.0)
+    assert {r.line: r.near for r in spatial.misses(lines, m, targets, 8.0, 5.0).collect()} == {"stub": True, "across": True}
+
+
+def test_stable_ids(spark):
+    """The same key first, then the closest pairs, one to one."""
+    schema = "id long, key string, x double, y double"
+    old = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "b", 10.0, 0.0), (3, "c", 20.0, 0.0), (4, "d", 500.0, 0.0), (5, "e", 22.0, 0.0)], schema)
+    new = spark.createDataFrame([(11, "a", 21.0, 0.0), (12, None, 11.0, 0.0), (13, None, 20.5, 0.0), (14, "z", 90.0, 0.0), (15, None, 22.5, 0.0)], schema)
+    got = {(r.new_id, r.old_id, r.how) for r in spatial.stable_ids(old, new, "key", 5.0).collect()}
+    assert got == {(11, 1, "key"), (12, 2, "near"), (13, 3, "near"), (15, 5, "near")}
+
+
+def test_long_chains_end(spark):
+    """Ways are followed to their end, and a length below zero, with which they need not end, is an error."""
+
+    edges = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("w"))
+    d = graph.distances(edges.where("a < 12"), spark.range(1).select(F.col("id").alias("node"))).collect()
+    assert {(r.node, r.distance) for r in d} == {(i, float(i)) for i in range(13)}
+    with pytest.raises(ValueError):
+        graph.distances(edges.withColumn("w", F.lit(-1.0)), spark.range(1).select(F.col("id").alias("node")))

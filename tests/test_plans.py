@@ -66,12 +66,12 @@ def test_line_queries_take_every_order(spark, tmp_path):
     """Orders that no modulo picks: three alike and one far off, by hand."""
     from metrolith.plans.queries import QUERIES
 
-    lines = {1: [5.0, 5.0, 5.0], 2: [5.0, 5.0, 5.0], 98: [7.0, 7.0, 7.0], 101: [45.0, 45.0, 45.0]}
+    lines = {1: [25.0, 25.0, 25.0], 401: [15.0, 15.0, 15.0], 801: [7.0, 7.0, 7.0], 1201: [45.0, 45.0, 45.0]}
     rows = [(k, n, q) for k, v in lines.items() for n, q in enumerate(v, start=1)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    pairs = {(a, b) for a in (1, 2, 98) for b in (1, 2, 98) if a != b}
+    pairs = {(a, b) for a in (1, 401, 801) for b in (1, 401, 801) if a != b}
     match = QUERIES["line_match"](spark, str(tmp_path)).collect()
     assert {(r.target, r.line) for r in match} == pairs and all(r.share == 1.0 and r.confidence == 1.0 for r in match)
     near = QUERIES["line_neighbours"](spark, str(tmp_path)).collect()
-    # 5 and 7 are within 8 of each other.
+    # They lie at 25, 25 and 27, within 8 of each other.
     assert {(r.line, r.other) for r in near} == pairs and all(r.shared_m == 80.0 for r in near)
