@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from metrolith.io import stored
 from metrolith.llm.substring import _BYTES, _mix, _ranges
-from metrolith.llm.text import by_size, lean
+from metrolith.llm.text import by_size, lean, lean_group, lean_pair
 
 #: The smoothing takes the vocabulary to have 2^WORD_BITS words at least.
 WORD_BITS = 18
@@ -158,7 +158,7 @@ def _asked(chunks: DataFrame, targets: DataFrame, bits: int) -> DataFrame:
         return pa.table({c: pa.array(v, type=t) for (c, t), v in zip(kinds.items(), columns)})
 
     docs = chunks.select("chunk", "sizes", "words", "tokens").groupBy("chunk")
-    return docs.cogroup(targets.groupBy("chunk")).applyInArrow(run, "bucket int, chunk long, keys binary, counts binary")
+    return docs.cogroup(targets.groupBy("chunk")).applyInArrow(lean_pair(run), "bucket int, chunk long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         words = [int((distinct & np.uint64(1) == 0).sum())] + [0] * (len(keys) - 1)
         return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "totals": pa.array(packed, pa.binary()), "words": pa.array(words, pa.int64())})
 
-    return asked.groupBy("bucket").applyInArrow(add, "bucket int, chunk long, totals binary, words long")
+    return asked.groupBy("bucket").applyInArrow(lean_group(add), "bucket int, chunk long, totals binary, words long")
 
 
 def score(docs: DataFrame, target_ids: DataFrame, strength: float = 2.0, word_bits: int = WORD_BITS) -> DataFrame:
@@ -232,7 +232,7 @@ def score(docs: DataFrame, target_ids: DataFrame, strength: float = 2.0, word_bi
 
     docs = chunks.select("chunk", "doc_ids", "sizes", "words", "tokens").groupBy("chunk")
     told = answers.select("chunk", "bucket", "totals").unionByName(targets, allowMissingColumns=True)
-    return docs.cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.cogroup(told.groupBy("chunk")).applyInArrow(lean_pair(run), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

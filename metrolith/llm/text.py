@@ -98,3 +98,29 @@ def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator
             _give_back()
 
     return wrapped
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow on groups."""
+
+    def wrapped(rows: pa.Table) -> pa.Table:
+        _keep_lean()
+        try:
+            return run(rows)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def lean_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for applyInArrow on cogroups."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        _keep_lean()
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return wrapped
