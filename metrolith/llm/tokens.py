@@ -1,10 +1,11 @@
-"""Token ids of whole texts by a tokenizer file, through a cache of words."""
+"""Token ids of whole texts by a tokenizer file: a rank-based encoder where the file allows one, else a cache of words."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -15,6 +16,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space for Python's \s, but ordinary characters for the pattern.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: Characters that the rank-based encoder gets at once, up to the next word's end.
+LONGEST = 1 << 20
+WORD_END = re.compile(r"\S(?=\s)")
+
+
+def _in_parts(text: str, longest: int = LONGEST) -> Iterator[str]:
+    """The text, in parts that end at a word's end once they are long."""
+    at = 0
+    while len(text) - at > longest:
+        end = WORD_END.search(text, at + longest)
+        if end is None:
+            break
+        yield text[at : end.end()]
+        at = end.end()
+    yield text[at:]
 
 
 class _Uneven(Exception):
@@ -87,7 +103,8 @@ class WordIds(dict):
         """The ids of a whole text: those that the tokenizer gives with add_special_tokens=False.
 
         A cut between a character and white space after it never lies within a token of byte-level BPE, so chunks of
-        white space and what follows it have the ids they have in the text. Texts that hold the string of a special
+        white space and what follows it have the ids they have in the text. The rank-based encoder gets whole texts, very
+        long ones in parts that end there; without one, words are looked up. Texts that hold the string of a special
         token, or odd control characters, go to the tokenizer whole.
         """
         if not text:
@@ -96,6 +113,8 @@ class WordIds(dict):
             import numpy as np
 
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.fast:
+            return b"".join(map(self._ids, _in_parts(text)))
         parts = text.split(" ")
         try:
             if not parts[0] or parts[0][-1].isspace():

@@ -25,11 +25,24 @@ def test_ids_are_the_tokenizers():
     for text in awkward_texts():
         assert np.frombuffer(w.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
     assert w.fast is not None
+    w.fast = None  # words are looked up where ids do not follow the merges
+    for text in awkward_texts():
+        assert np.frombuffer(w.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_in_parts():
+    w = tokens.WordIds(tokenizer_path())
+    for text in awkward_texts():
+        if not any(s in text for s in (*w.special, *tokens.ODD)):
+            for longest in (1, 7, 50):
+                parts = list(tokens._in_parts(text, longest))
+                assert "".join(parts) == text and b"".join(map(w._ids, parts)) == w._ids(text), repr(text)
 
 
 def test_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_WORDS", 8)
     w = tokens.WordIds(tokenizer_path())
+    w.fast = None
     texts = [t for t in awkward_texts() if "<|" not in t][:150]
     one = [w.encode(t) for t in texts]
     assert len(w) <= 8 and one == [w.encode(t) for t in texts]
