@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,3 +143,62 @@ def hilbert_tile_id(x: Column, y: Column, zoom: int) -> Column:
 def quantised(v: Column, unit: float) -> Column:
     """The nearest multiple of a unit: off by half a unit at most."""
     return F.round(v / unit) * unit
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once; nested expressions would compute it wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _towards(a: Column, v: Column, t: Column) -> tuple[Column, Column]:
+    return a["x"] + t * (v["x"] - a["x"]), a["y"] + t * (v["y"] - a["y"])
+
+
+def located(line: Column, point: Column) -> Column:
+    """Where on a line (vertices x, y) a point's (x, y) nearest position is: struct(distance, along) in the line's unit; the
+    first such position on ties. A line of one vertex has along 0, an empty one null."""
+    def of(line: Column, p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("run"), F.lit(float("inf")).alias("distance"), F.lit(0.0).alias("along"), line[0]["x"].alias("x"), line[0]["y"].alias("y"))
+
+        def step(a: Column, v: Column) -> Column:
+            dx, dy = v["x"] - a["x"], v["y"] - a["y"]
+            share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / (dx * dx + dy * dy)))
+            found = F.struct(F.sqrt(dx * dx + dy * dy).alias("size"), F.when((dx != 0) | (dy != 0), share).otherwise(0.0).alias("t"))
+
+            def moved(f: Column) -> Column:
+                x, y = _towards(a, v, f["t"])
+                return let(F.sqrt((x - p["x"]) ** 2 + (y - p["y"]) ** 2), lambda d: F.struct(
+                    (a["run"] + f["size"]).alias("run"), F.least(a["distance"], d).alias("distance"), F.when(d < a["distance"], a["run"] + f["t"] * f["size"]).otherwise(a["along"]).alias("along"),
+                    v["x"].alias("x"), v["y"].alias("y")))
+
+            return let(found, moved)
+
+        return F.aggregate(line, start, step, lambda a: F.struct(a["distance"], a["along"]))
+
+    return F.when(F.size(line) > 0, let(F.struct(line.alias("line"), point.alias("p")), lambda s: of(s["line"], s["p"])))
+
+
+def midpoint(line: Column) -> Column:
+    """The point (x, y) halfway along a line."""
+    def of(line: Column, half: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("run"), line[0]["x"].alias("x"), line[0]["y"].alias("y"), line[0].alias("mid"))
+
+        def step(a: Column, v: Column) -> Column:
+            def moved(size: Column) -> Column:
+                x, y = _towards(a, v, F.when(size > 0, F.least(F.lit(1.0), (half - a["run"]) / size)).otherwise(0.0))
+                mid = F.when(a["run"] <= half, F.struct(x.alias("x"), y.alias("y"))).otherwise(a["mid"])
+                return F.struct((a["run"] + size).alias("run"), v["x"].alias("x"), v["y"].alias("y"), mid.alias("mid"))
+
+            return let(F.sqrt((v["x"] - a["x"]) ** 2 + (v["y"] - a["y"]) ** 2), moved)
+
+        return F.aggregate(line, start, step, lambda a: a["mid"])
+
+    return let(F.struct(line.alias("line"), (line_length(line) / 2).alias("half")), lambda s: of(s["line"], s["half"]))
+
+
+def drawn_same_way(parts: Column, segments: Column) -> Column:
+    """Whether a line of several parts runs the way of a segment of several: the segment's first and last vertex are located
+    on the part that is nearest to the middle of the segment's first part. Null without vertices."""
+    near = let(midpoint(segments[0]), lambda mid: F.array_min(F.transform(parts, lambda p: F.struct(located(p, mid)["distance"].alias("d"), p.alias("p"))))["p"])
+    start, end = segments[0][0], F.element_at(F.element_at(segments, -1), -1)
+    return let(near, lambda line: located(line, start)["along"] <= located(line, end)["along"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,6 +141,39 @@ def illumination(cells: DataFrame, value: str, altitude: float, azimuth: float,
     return d.withColumn("sun", sun).drop("_n", "_s", "_e", "_w")
 
 
+def _blurred(cells: DataFrame, sigma: float, keys: Sequence[str]) -> DataFrame:
+    """Sums and weights (s, d) blurred by a Gaussian, rows first and then columns; three deviations wide."""
+    reach = math.ceil(3 * sigma)
+    raw = [math.exp(-i * i / (2 * sigma * sigma)) for i in range(-reach, reach + 1)]
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w / sum(raw)).alias("w")) for i, w in zip(range(-reach, reach + 1), raw)])
+    for axis in ("row", "col"):
+        spread = cells.select(*keys, "row", "col", "u", "s", "d", F.explode(taps).alias("t"))
+        moved = {axis: (F.col(axis) + F.col("t.i")).alias(axis)}
+        own = F.when(F.col("t.i") == 0, F.col("u"))
+        spread = spread.select(*keys, *[moved.get(c, F.col(c)) for c in ("row", "col")], own.alias("u"), (F.col("s") * F.col("t.w")).alias("s"), (F.col("d") * F.col("t.w")).alias("d"))
+        cells = spread.groupBy(*keys, "row", "col").agg(F.coalesce(F.max("u"), F.lit(0.0)).alias("u"), F.sum("s").alias("s"), F.sum("d").alias("d"))
+    return cells
+
+
+def octave_bands(cells: DataFrame, value: str, octave: int, support: float = 0.75, keys: Sequence[str] = ()) -> DataFrame:
+    """Texture of one octave k: (keys, row, col, band) on cells of 2^k, the difference of a Gaussian blur of one cell of that
+    level and one of two. Cells that aren't there, or have no value, weigh nothing; a cell counts where half of it is there
+    and the wider blur has `support`. The mean square of `band` by zone is the octave's energy."""
+    level = cells.where(F.col(value).isNotNull()).select(*keys, "row", "col", F.lit(1.0).alias("u"), F.col(value).cast("double").alias("s"), F.lit(1.0).alias("d"))
+    had = 0.0
+    for k in range(octave + 1):
+        if had < 1.0:
+            level, had = _blurred(level, math.sqrt(1.0 - had * had), keys), 1.0
+        wide = _blurred(level, math.sqrt(4.0 - had * had), keys)
+        if k == octave:
+            ratio = F.when(F.col("d") > 0, F.col("s") / F.col("d")).otherwise(0.0)
+            fine = level.select(*keys, "row", "col", ratio.alias("_fine"))
+            return wide.where((F.col("u") >= 0.5) & (F.col("d") >= support)).join(fine, [*keys, "row", "col"]).select(*keys, "row", "col", (F.col("_fine") - ratio).alias("band"))
+        half = [F.floor(F.col(c) / 2).alias(c) for c in ("row", "col")]
+        level = wide.groupBy(*keys, *half).agg(*[(F.sum(c) / 4).alias(c) for c in ("u", "s", "d")])
+        had = math.sqrt(4.25) / 2
+
+
 def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float) -> DataFrame:
     """Peaks from the tallest down, none closer than `spacing` to a taller one that was kept.
 

@@ -236,3 +236,14 @@ def nearest_in_turn(left: DataFrame, right: DataFrame, tries: Sequence[tuple[flo
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(left_id), left_id, "left_anti")
     return out
+
+
+def unit_shares(shapes: DataFrame, units: DataFrame, size: float, shape: str, unit: str, least: float = 0.01) -> DataFrame:
+    """(shape, unit, area, share): how much of each shape's area each unit has, in cells as in shared_area; parts below `least` go.
+    A shape of fewer than three vertices has no area: the units that hold a vertex share it equally."""
+    areal = F.size("ring") >= 3
+    area = shared_area(shapes.where(areal), units, size, shape, unit).where(F.col("area") >= least)
+    spots = shapes.where(~areal).select(shape, F.explode("ring").alias("v")).select(shape, "v.x", "v.y")
+    held = points_in_polygons(spots, units, size).select(shape, unit).distinct()
+    n = held.groupBy(shape).agg(F.count("*").alias("n"))
+    return area.unionByName(held.join(n, shape).select(shape, unit, F.lit(0.0).alias("area"), (1 / F.col("n")).alias("share")))

@@ -5,6 +5,8 @@ As in queries.py, the driver's tables stand in for the platform's own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -293,3 +295,54 @@ def rasterised(spark, sf):
 b AS (SELECT row, col, degrees(atan(sqrt(east ** 2 + north ** 2))) AS slope, ((degrees(atan2(-east, -north)) % 360) + 360) % 360 AS aspect FROM a) SELECT row, col, round(slope, 5) AS slope, round(sin(radians(40)) * cos(radians(slope)) + cos(radians(40)) * sin(radians(slope)) * cos(radians(135 - aspect)), 6) AS sun FROM b""")
 def sunlit_cells(spark, sf):
     return raster.illumination(_grid(spark, sf), "v", 40.0, 135.0).select("row", "col", F.round("slope", 5).alias("slope"), F.round("sun", 6).alias("sun"))
+
+
+# --- texture, shares of units, directions --------------------------------------------------------------------------
+
+def _taps(sigma: float) -> str:
+    """A Gaussian's taps as a SQL table (i, w)."""
+    reach = math.ceil(3 * sigma)
+    raw = [math.exp(-i * i / (2 * sigma * sigma)) for i in range(-reach, reach + 1)]
+    return ", ".join(f"({i}, {w / sum(raw)!r}::DOUBLE)" for i, w in zip(range(-reach, reach + 1), raw))
+
+
+TEXTURE = f"""{GRID}, t1(i, w) AS (VALUES {_taps(1.0)}), t2(i, w) AS (VALUES {_taps(math.sqrt(3.0))}),
+f AS (SELECT row + a.i AS row, col + b.i AS col, sum(v * a.w * b.w) AS s, sum(a.w * b.w) AS d FROM g, t1 a, t1 b GROUP BY 1, 2),
+h AS (SELECT row + a.i AS row, col + b.i AS col, sum(s * a.w * b.w) AS s, sum(d * a.w * b.w) AS d FROM f, t2 a, t2 b GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {TEXTURE} SELECT g.row % 4 AS zone, 0 AS octave, count(*) AS cells, round(avg((f.s / f.d - h.s / h.d) ** 2), 6) AS energy FROM g JOIN f USING (row, col) JOIN h USING (row, col) WHERE h.d >= 0.75 GROUP BY 1
+UNION ALL SELECT row % 4, 1, count(*), round(avg((fs / fd - s / d) ** 2), 6) FROM (SELECT l.row, l.col, l.s / l.d AS fr, l.s AS fs, l.d AS fd, w.s, w.d FROM
+(SELECT h.row // 2 AS row, h.col // 2 AS col, sum(CASE WHEN g.v IS NULL THEN 0 ELSE 1 END) / 4 AS u, sum(h.s) / 4 AS s, sum(h.d) / 4 AS d FROM (SELECT * FROM h WHERE row >= 0 AND col >= 0) h LEFT JOIN g ON g.row = h.row AND g.col = h.col GROUP BY 1, 2) l
+JOIN (SELECT x.row + a.i AS row, x.col + b.i AS col, sum(x.s * a.w * b.w) AS s, sum(x.d * a.w * b.w) AS d FROM (SELECT CAST(floor(row / 2) AS BIGINT) AS row, CAST(floor(col / 2) AS BIGINT) AS col, sum(s) / 4 AS s, sum(d) / 4 AS d FROM h GROUP BY 1, 2) x, (VALUES {_taps(math.sqrt(4.0 - 4.25 / 4.0))}) a(i, w), (VALUES {_taps(math.sqrt(4.0 - 4.25 / 4.0))}) b(i, w) GROUP BY 1, 2) w USING (row, col) WHERE l.u >= 0.5 AND w.d >= 0.75) GROUP BY 1""")
+def texture_energies(spark, sf):
+    bands = [raster.octave_bands(_grid(spark, sf), "v", k).withColumn("octave", F.lit(k)) for k in (0, 1)]
+    b = bands[0].unionByName(bands[1])
+    return b.groupBy((F.col("row") % 4).alias("zone"), "octave").agg(F.count("*").alias("cells"), F.round(F.avg(F.col("band") ** 2), 6).alias("energy"))
+
+
+@query("""WITH u(unit, x0, y0) AS (VALUES ('a', -200, -200), ('b', -100, -150), ('c', 60, 40)), s(shape, x0, y0) AS (VALUES (1, -160, -120), (2, 0, 0)), cells AS (SELECT (i + 0.5) * 10 AS x, (j + 0.5) * 10 AS y FROM range(-40, 40) a(i), range(-40, 40) b(j)),
+c AS (SELECT shape, x, y, count(*) OVER (PARTITION BY shape) AS n FROM s JOIN cells ON x BETWEEN x0 AND x0 + 150 AND y BETWEEN y0 AND y0 + 150), v(shape, x, y) AS (VALUES (3, -90, -90), (3, 70.5, 60.5), (4, 390, 390)),
+h AS (SELECT DISTINCT shape, unit FROM v JOIN u ON x BETWEEN x0 AND x0 + 150 AND y BETWEEN y0 AND y0 + 150)
+SELECT shape, unit, count(*) * 100.0::DOUBLE AS area, round(count(*) / any_value(n), 6) AS share FROM c JOIN u ON x BETWEEN u.x0 AND u.x0 + 150 AND y BETWEEN u.y0 AND u.y0 + 150 GROUP BY 1, 2
+UNION ALL SELECT shape, unit, 0.0, round(1.0 / count(*) OVER (PARTITION BY shape), 6) FROM h""")
+def unit_shares(spark, sf):
+    """Shapes with an area, and two that are only points; the last lies in no unit."""
+    box = lambda x, y: [(float(x), float(y)), (x + 150.0, float(y)), (x + 150.0, y + 150.0), (float(x), y + 150.0)]
+    units = spark.createDataFrame([("a", box(-200, -200)), ("b", box(-100, -150)), ("c", box(60, 40))], "unit string, ring array<struct<x:double,y:double>>")
+    shapes = spark.createDataFrame([(1, box(-160, -120)), (2, box(0, 0)), (3, [(-90.0, -90.0), (70.5, 60.5)]), (4, [(390.0, 390.0)])], "shape int, ring array<struct<x:double,y:double>>")
+    return spatial.unit_shares(shapes, units, 10.0, "shape", "unit").withColumn("share", F.round("share", 6))
+
+
+WAYS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT vec_id, unnest([0, 1]) AS k, e FROM e), q AS (SELECT vec_id, k, e[1 + 2 * k] AS rx, e[2 + 2 * k] AS ry, e[3 + 2 * k] AS cx, e[4 + 2 * k] AS cy, unnest(['from', 'to']) AS side, unnest([e[7], e[9]]) AS px, unnest([e[8], e[10]]) AS py FROM s),
+t AS (SELECT *, sqrt((cx - rx) ** 2 + (cy - ry) ** 2) AS len, least(1, greatest(0, ((px - rx) * (cx - rx) + (py - ry) * (cy - ry)) / ((cx - rx) ** 2 + (cy - ry) ** 2))) AS t FROM q), d AS (SELECT *, sqrt((rx + t * (cx - rx) - px) ** 2 + (ry + t * (cy - ry) - py) ** 2) AS d, coalesce(sum(len) OVER (PARTITION BY vec_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + t * len AS along FROM t),
+n AS (SELECT vec_id, side, arg_min(along, (d, k)) AS along, min(d) AS d FROM d GROUP BY 1, 2)"""
+
+
+@query(f"WITH {WAYS} SELECT a.vec_id, round(a.d, 6) AS start_distance, round(a.along, 6) AS start_along, a.along <= b.along AS same_way FROM n a JOIN n b USING (vec_id) WHERE a.side = 'from' AND b.side = 'to'")
+def drawn_same_way(spark, sf):
+    """Lines of three vertices and segments of two, from the components of vectors."""
+    at = lambda i: F.struct(F.get("embedding", F.lit(i)).cast("double").alias("x"), F.get("embedding", F.lit(i + 1)).cast("double").alias("y"))
+    lines = table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", F.array(at(0), at(2), at(4)).alias("line"), F.array(at(6), at(8)).alias("seg"))
+    near = geo.located(F.col("line"), F.col("seg")[0])
+    return lines.select("vec_id", F.round(near["distance"], 6).alias("start_distance"), F.round(near["along"], 6).alias("start_along"), geo.drawn_same_way(F.array("line"), F.array("seg")).alias("same_way"))

@@ -238,3 +238,10 @@ def test_long_chains_end(spark):
     assert {(r.node, r.distance) for r in d} == {(i, float(i)) for i in range(13)}
     with pytest.raises(ValueError):
         graph.distances(edges.withColumn("w", F.lit(-1.0)), spark.range(1).select(F.col("id").alias("node")))
+
+
+def test_drawn_same_way_picks_the_nearest_part(spark):
+    line = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 5D, 'y', 0D), named_struct('x', 10D, 'y', 0D)), array(named_struct('x', 10D, 'y', 50D), named_struct('x', 0D, 'y', 50D)))"
+    seg = lambda x0, x1, y: f"array(array(named_struct('x', {x0}D, 'y', {y}D), named_struct('x', {x1}D, 'y', {y}D)))"
+    df = spark.sql(f"select {line} l, {seg(1, 9, 2)} a, {seg(9, 1, 2)} b, {seg(1, 9, 49)} c, {seg(3, 3, 1)} d")
+    assert tuple(df.select(*[geo.drawn_same_way(F.col("l"), F.col(c)) for c in "abcd"]).first()) == (True, False, False, True)
