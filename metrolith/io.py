@@ -39,7 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written to the shared folder, so that a lost executor costs nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _unsized(df.checkpoint(eager=True))
+
+
+def _unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint without the estimate of its size, which Spark takes from the plan that it was made by.
+
+    A join's estimate is the product of its sides', so over the rounds of a loop the number doubles its digits with each
+    join, until it alone fills the driver. Without it, the default for tables of unknown size holds.
+    """
+    jvm, r = df.sparkSession._jvm, df._jdf.queryExecution().analyzed()
+    session, none = df._jdf.sparkSession(), jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(r.output(), r.rdd(), r.outputPartitioning(), r.outputOrdering(), r.isStreaming(), none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
 
 
 def stored(df: DataFrame) -> DataFrame:
