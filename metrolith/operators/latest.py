@@ -43,9 +43,18 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at:
 
 
 def as_of_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day: str, right_day: str, back: int, order: Sequence[Column], left_id: Sequence[str]) -> DataFrame:
-    """The best right row whose day is the left's or up to `back` days earlier: an equality join on each day, then a rank."""
-    days = right.withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(back)))).withColumn("_day", F.date_add(right_day, F.col("_day")))
-    joined = left.withColumn("_day", F.col(left_day)).join(days, [*keys, "_day"], "left").drop("_day")
+    """The best right row whose day is the left's or up to `back` days earlier: an equality join on spans of back + 1 days, then a rank.
+
+    Right rows stand in two spans, so that left rows meet all of theirs in their own. Sides are merged, never broadcast: by
+    its estimated size a table would be taken for smaller than its copies are."""
+    span = lambda day, n: F.floor((F.unix_date(F.col(day).cast("date")) + n) / F.lit(back + 1))
+    days = right.withColumn("_span", F.explode(F.array(span(right_day, 0), span(right_day, back + 1)))).hint("merge")
+    l = left.withColumn("_span", span(left_day, 0)).alias("l")
+    met = F.col(f"r.{right_day}").between(F.date_sub(F.col(f"l.{left_day}"), back), F.col(f"l.{left_day}"))
+    for c in [*keys, "_span"]:
+        met = met & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    others = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    joined = l.join(days.alias("r"), met, "left").select(*[F.col(f"l.{c}") for c in left.columns], *others)
     return distinct_on(joined, left_id, order)
 
 

@@ -245,3 +245,19 @@ def test_drawn_same_way_picks_the_nearest_part(spark):
     seg = lambda x0, x1, y: f"array(array(named_struct('x', {x0}D, 'y', {y}D), named_struct('x', {x1}D, 'y', {y}D)))"
     df = spark.sql(f"select {line} l, {seg(1, 9, 2)} a, {seg(9, 1, 2)} b, {seg(1, 9, 49)} c, {seg(3, 3, 1)} d")
     assert tuple(df.select(*[geo.drawn_same_way(F.col("l"), F.col(c)) for c in "abcd"]).first()) == (True, False, False, True)
+
+
+def test_as_of_within_matches_brute_force_and_is_not_broadcast(spark):
+    from datetime import date, timedelta
+
+    r, start = random.Random(4), date(1969, 11, 1)
+    left = [(i, r.choice("ab"), start + timedelta(days=r.randint(0, 120))) for i in range(80)] + [(80, "a", None), (81, None, start)]
+    right = [(i, r.choice("ac"), start + timedelta(days=r.randint(0, 120))) for i in range(60)] + [(60, "a", None), (61, None, start)]
+    l, s = spark.createDataFrame(left, "id int, k string, day date"), spark.createDataFrame(right, "other int, k string, at date")
+    d = latest.as_of_within(l, s, ["k"], "day", "at", 9, [F.desc_nulls_last("at"), F.col("other")], ["id"])
+    want = {}
+    for i, k, day in left:
+        near = [(-at.toordinal(), o) for o, key, at in right if key == k and k and day and at and 0 <= (day - at).days <= 9]
+        want[i] = min(near)[1] if near else None
+    assert {x.id: x.other for x in d.collect()} == want and d.columns == ["id", "k", "day", "other", "at"]
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
