@@ -8,9 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrolith.io import cut
+from metrolith.io import cut, stored
 from metrolith.operators.graph import connected_components
 
+#: Peaks of a round that are broadcast; more are met by a shuffle.
+FEW_PEAKS = 10_000
+
 
 def focal(cells: DataFrame, value: str, keys: Sequence[str] = (), reach: int = 1) -> DataFrame:
     """Mean, least, greatest and number of the values around each cell, itself included; each value goes to its neighbours."""
@@ -177,19 +180,30 @@ def octave_bands(cells: DataFrame, value: str, octave: int, support: float = 0.7
 def spaced_peaks(points: DataFrame, key: str, height: str, spacing: float) -> DataFrame:
     """Peaks from the tallest down, none closer than `spacing` to a taller one that was kept.
 
-    A peak is kept once it is the tallest of all that are left around it; those around kept peaks go. Ties by key.
+    A round looks at cells in which all points are closer than `spacing`: the tallest of a cell is kept once no cell that
+    its spacing reaches has a taller one left, and what lies around kept peaks goes. Only points and the tallest of cells
+    are ever dealt out, never pairs of points, so a dense table costs no more than a sparse one. Ties by key; points that
+    have no finite place are left out.
     """
-    from metrolith.operators.spatial import radius_join
-
-    p = cut(points.select(key, "x", "y", height))
-    kept = None
-    order = lambda pre="": F.struct(F.col(f"{pre}{height}"), -F.col(f"{pre}{key}"))
+    side, reach = spacing / 1.5, (-2, -1, 0, 1, 2)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    p = stored(points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), height).where(finite("x") & finite("y")).withColumn("cx", cell("x")).withColumn("cy", cell("y")))
+    order, kept = F.struct(F.col(height).alias("h"), (-F.col(key)).alias("k")), None
+    away = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
+    # How far a cell is from a point, along one axis; a cell that rounding may have moved is taken for near.
+    gap = lambda c, n: F.greatest(F.lit(0.0), n * side - F.col(c), F.col(c) - (n + 1) * side)
     while True:  # the tallest of all that are left is kept in every round, so this ends
-        near = radius_join(p, p, spacing)
-        top = near.groupBy(key).agg(F.max(order("r_")).alias("best"), F.first(order()).alias("own")).where("best = own").select(key)
-        now = cut(p.join(top, key, "left_semi"))
+        tops = cut(p.groupBy("cx", "cy").agg(F.max(order).alias("top"), F.max_by(F.struct(key, "x", "y", height), order).alias("p")))
+        around = tops.select("*", F.explode(away).alias("d")).select("top", "p", "p.x", "p.y", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+        around = around.where(gap("x", F.col("cx")) ** 2 + gap("y", F.col("cy")) ** 2 <= spacing**2 * (1 + 1e-9))
+        met = around.join(tops.select("cx", "cy", F.col("top").alias("other")), ["cx", "cy"])
+        now = cut(met.groupBy("top", "p").agg(F.max("other").alias("other")).where("top = other").select("p.*"))
         kept = now if kept is None else kept.union(now)
-        gone = radius_join(now, p, spacing).select(F.col(f"r_{key}").alias(key)).distinct()
-        p = cut(p.join(gone, key, "left_anti"))
-        if not p.limit(1).count():
+        near = now.select(F.col("x").alias("px"), F.col("y").alias("py"), F.explode(away).alias("d")).select("px", "py", (cell("px") + F.col("d.i")).alias("nx"), (cell("py") + F.col("d.j")).alias("ny"))
+        if now.count() <= FEW_PEAKS:
+            near = F.broadcast(near)
+        close = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2) <= spacing
+        p = stored(p.join(near, (F.col("cx") == F.col("nx")) & (F.col("cy") == F.col("ny")) & close, "left_anti"))
+        if p.isEmpty():
             return kept
