@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolith.functions import geo
+from metrolith.operators.along import overlaps
+
+#: What rounding may take from a share or a length, as a part of it.
+SLACK = 1e-9
 
 
 def cells(x: Column, y: Column, size: float) -> Column:
@@ -85,26 +89,23 @@ def densify(lines: DataFrame, line: str, step: float, points: str = "points") ->
         (F.col("_len") / F.col("_n")).alias("len"), geo.bearing(F.col("_dx"), F.col("_dy")).alias("bearing"))
 
 
+def _summed(parts: DataFrame, keys: Sequence[str], dealt: Sequence[str]) -> DataFrame:
+    """Shares, overlaps and differences of bearings from the parts of along.overlaps(), which are shuffled once, by `dealt`."""
+    got = parts.repartition(*dealt).groupBy(*keys, "quarter").agg(F.sum("m").alias("m"), (F.sum("turned") / F.sum("m")).alias("diff"), F.first("length_m").alias("length_m"))
+    got = got.groupBy(*keys).agg(F.sum("m").alias("overlap_m"), F.max("diff").alias("bearing_diff"), F.first("length_m").alias("length_m"))
+    return got.select(*keys, (F.col("overlap_m") / F.col("length_m")).alias("share"), "overlap_m", "bearing_diff", "length_m")
+
+
 def covered(these: DataFrame, others: DataFrame, this: str, other: str, near: float, step: float) -> DataFrame:
     """(this, other, share, overlap_m, bearing_diff): how much of each line lies within `near` of another, and how their
     bearings differ there, weighted by length. A closed line (its first point is its last) has the difference of its worst
     quarter, so that a loop is not taken for a line that it only crosses."""
-    w = Window.partitionBy("this")
-    t = densify(these.withColumnRenamed(this, "this"), "this", step)
-    t = t.withColumn("at", F.sum("len").over(w.orderBy("seg", "i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("len") / 2).withColumn("length_m", F.sum("len").over(w))
-    closed = these.select(F.col(this).alias("this"), (F.element_at("points", 1) == F.element_at("points", -1)).alias("closed"))
-    t = t.join(closed, "this").withColumn("quarter", F.when(F.col("closed"), F.floor(4 * F.col("at") / F.col("length_m")).cast("int")).otherwise(0)).drop("closed")
-    t = t.withColumnRenamed("len", "t_len").withColumnRenamed("bearing", "t_bearing")
-    l = densify(others, other, step).select(F.col(other).alias("other"), "x", "y", F.col("bearing").alias("l_bearing"))
-    diff = F.min_by(geo.bearing_diff(F.col("t_bearing"), F.col("r_l_bearing")), F.struct("d", "r_x", "r_y"))
-    best = radius_join(t, l, near).groupBy("this", "seg", "i", F.col("r_other").alias("other")).agg(F.first("t_len").alias("t_len"), F.first("quarter").alias("quarter"), F.first("length_m").alias("length_m"), diff.alias("diff"))
-    got = best.groupBy("this", "other", "quarter").agg(F.sum("t_len").alias("m"), (F.sum(F.col("diff") * F.col("t_len")) / F.sum("t_len")).alias("diff"), F.first("length_m").alias("length_m"))
-    got = got.groupBy("this", "other").agg(F.sum("m").alias("overlap_m"), F.max("diff").alias("bearing_diff"), F.first("length_m").alias("length_m"))
-    return got.select(F.col("this").alias(this), F.col("other").alias(other), (F.col("overlap_m") / F.col("length_m")).alias("share"), "overlap_m", "bearing_diff", "length_m")
-
-
-def match_lines(targets: DataFrame, lines: DataFrame, near: float, step: float, min_share: float = 0.6, max_bearing: float = 20.0, names_agree: Column | None = None,
-                min_line: float | None = None) -> DataFrame:
+    got = _summed(overlaps(these, others, this, other, near, step), ["this", "other"], ["this", "other"])
+    return got.withColumnRenamed("this", this).withColumnRenamed("other", other)
+
+
+def match_lines(targets: DataFrame, lines: DataFrame | None, near: float, step: float, min_share: float = 0.6, max_bearing: float = 20.0, names_agree: Column | None = None,
+                min_line: float | None = None, min_overlap: float = 0.0) -> DataFrame:
     """Lines that run along a target: (target, line, share, overlap_m, bearing_diff, confidence, of).
 
     Both are densified; a target's point is covered by a line if one of that line's points lies within `near` of it. The
@@ -112,20 +113,38 @@ def match_lines(targets: DataFrame, lines: DataFrame, near: float, step: float,
     length. A pair matches from min_share on if its bearings differ by max_bearing at most; confidence is the share times
     the cosine of the difference, halved where names (columns target_name, line_name) are known to differ. With min_line,
     a pair below min_share still matches if the line is that long and has min_share of its own length along the target:
-    `of` says whose share counted, the target's or the line's, and share, overlap and bearings are its.
+    `of` says whose share counted, the target's or the line's, and share, overlap and bearings are its. Overlaps of less
+    than min_overlap metres are no match. All these bounds have a slack of SLACK, so that what lies on one does not hang
+    on the order in which its parts were added up. Without lines, targets are matched with each other; there are no names then.
     """
-    got = covered(targets, lines, "target", "line", near, step).withColumn("of", F.lit("target"))
-    if min_line is not None:
-        back = covered(lines, targets, "line", "target", near, step).where(F.col("length_m") >= min_line).withColumn("of", F.lit("line"))
-        mine = got.where(F.col("share") >= min_share).select("target", "line")
-        got = got.where(F.col("share") >= min_share).unionByName(back.join(mine, ["target", "line"], "left_anti"))
+    found = ["share", "overlap_m", "bearing_diff", "length_m"]
+    enough = (F.col("share") >= min_share * (1 - SLACK)) & (F.col("overlap_m") >= min_overlap * (1 - SLACK))
+    if lines is None and min_line is not None:
+        # One way of a pair is the target's share, the other way the line's: both ways meet, and each is both.
+        parts = overlaps(targets, None, "target", "target", near, step, min_share, min_overlap).withColumn("lo", F.least("this", "other")).withColumn("hi", F.greatest("this", "other"))
+        got = _summed(parts, ["lo", "hi", "this"], ["lo", "hi"]).where(enough)
+        way = lambda c: F.max(F.when(F.col("this") == F.col(c), F.struct(*found)))
+        got = got.groupBy("lo", "hi").agg(way("lo").alias("f"), way("hi").alias("b"))
+        long = lambda c: F.when(F.col(f"{c}.length_m") >= min_line, F.col(c))
+        both = [F.struct(F.col(t).alias("target"), F.col(l).alias("line"), F.coalesce(F.col(x), long(y)).alias("v"), F.when(F.col(x).isNotNull(), "target").otherwise("line").alias("of")) for t, l, x, y in (("lo", "hi", "f", "b"), ("hi", "lo", "b", "f"))]
+        got = got.select(F.inline(F.array(*both))).where("v is not null").select("target", "line", "v.*", "of")
+    elif min_line is not None:
+        parts = overlaps(targets, lines, "target", "line", near, step, min_share, min_overlap).select(F.col("this").alias("target"), F.col("other").alias("line"), F.lit("target").alias("of"), "quarter", "m", "turned", "length_m")
+        back = overlaps(lines, targets, "line", "target", near, step, min_share, min_overlap).where(F.col("length_m") >= min_line)
+        parts = parts.unionByName(back.select(F.col("other").alias("target"), F.col("this").alias("line"), F.lit("line").alias("of"), "quarter", "m", "turned", "length_m"))
+        got = _summed(parts, ["target", "line", "of"], ["target", "line"]).where(enough)
+        best = F.max(F.struct("of", *found)).alias("v")  # "target" comes after "line"
+        got = got.groupBy("target", "line").agg(best).select("target", "line", "v.*")
+    else:
+        parts = overlaps(targets, lines, "target", "line", near, step, min_share, min_overlap)
+        got = _summed(parts, ["this", "other"], ["this", "other"]).where(enough).withColumnRenamed("this", "target").withColumnRenamed("other", "line").withColumn("of", F.lit("target"))
     got = got.drop("length_m")
-    if "target_name" in targets.columns and "line_name" in lines.columns and names_agree is not None:
+    if lines is not None and "target_name" in targets.columns and "line_name" in lines.columns and names_agree is not None:
         got = got.join(targets.select("target", "target_name"), "target").join(lines.select("line", "line_name"), "line")
         factor = F.when(names_agree == F.lit(False), 0.5).otherwise(1.0)
     else:
         factor = F.lit(1.0)
-    got = got.where((F.col("share") >= min_share) & (F.col("bearing_diff") <= max_bearing))
+    got = got.where(F.col("bearing_diff") <= max_bearing * (1 + SLACK))
     return got.select("target", "line", "share", "overlap_m", "bearing_diff", F.round(F.least("share", F.lit(1.0)) * F.cos(F.radians("bearing_diff")) * factor, 3).alias("confidence"), "of")
 
 
@@ -205,8 +224,8 @@ def crossings(lines: DataFrame, line: str, size: float, points: str = "points")
 
 def neighbours(lines: DataFrame, near: float, step: float, least_m: float) -> DataFrame:
     """(line, other, shared_m): lines that run near each other for least_m metres or more."""
-    m = match_lines(lines.withColumnRenamed("line", "target"), lines, near, step, 0.0, 90.0).where("target <> line")
-    return m.where(F.col("overlap_m") >= least_m).select(F.col("target").alias("line"), F.col("line").alias("other"), F.col("overlap_m").alias("shared_m"))
+    m = match_lines(lines.withColumnRenamed("line", "target"), None, near, step, 0.0, 90.0, min_overlap=least_m)
+    return m.select(F.col("target").alias("line"), F.col("line").alias("other"), F.col("overlap_m").alias("shared_m"))
 
 
 def apart(rows: DataFrame, from_: DataFrame, radius: float, key: str) -> DataFrame:

@@ -261,3 +261,92 @@ def test_as_of_within_matches_brute_force_and_is_not_broadcast(spark):
         want[i] = min(near)[1] if near else None
     assert {x.id: x.other for x in d.collect()} == want and d.columns == ["id", "k", "day", "other", "at"]
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def _brute_overlaps(lines, near, step):
+    """(this, other) -> (share, overlap_m, bearing_diff), point by point."""
+    import math
+
+    def points(v):
+        segs = [(p, q, math.dist(p, q)) for p, q in zip(v, v[1:]) if math.dist(p, q) > 0]
+        total, at, out = sum(s[2] for s in segs), 0.0, []
+        for p, q, m in segs:
+            n = max(1, math.ceil(m / step))
+            for i in range(n):
+                t = (i + 0.5) / n
+                part = int(4 * (at + t * m) / total) if v[0] == v[-1] else 0
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), m / n, math.degrees(math.atan2(q[0] - p[0], q[1] - p[1])) % 360, part))
+            at += m
+        return out, total
+
+    made, got = {k: points(v) for k, v in lines.items()}, {}
+    for a, (mine, total) in made.items():
+        for b, (others, _) in made.items():
+            parts = {}
+            for x, y, m, bearing, part in mine if a != b else []:
+                d = min(others, key=lambda o: (math.dist((x, y), o[:2]), o[0], o[1]))
+                if math.dist((x, y), d[:2]) <= near:
+                    turn = abs(bearing - d[3]) % 180
+                    old = parts.get(part, (0.0, 0.0))
+                    parts[part] = (old[0] + m, old[1] + m * min(turn, 180 - turn))
+            if parts:
+                over = sum(m for m, _ in parts.values())
+                got[a, b] = (over / total, over, max(t / m for m, t in parts.values()))
+    return got
+
+
+def test_line_overlaps_match_brute_force_over_tiles(spark):
+    """Tiles are 300 wide: lines within one, over several, closed, and below zero; ids are texts."""
+    r = random.Random(5)
+    lines = {}
+    for i in range(40):
+        x, y = r.uniform(-700, 700), r.uniform(-60, 60)
+        v = [(x, y)]
+        for _ in range(r.randint(1, 6)):
+            v.append((v[-1][0] + r.uniform(-150, 150), v[-1][1] + r.uniform(-15, 15)))
+        lines[f"l{i}"] = v + [v[0]] * (i % 5 == 0)
+        if i % 4 == 0:
+            lines[f"m{i}"] = [(a + 1.5, b + 2.0) for a, b in v]
+    rows = [(k, [{"x": x, "y": y} for x, y in v]) for k, v in lines.items()]
+    d = spark.createDataFrame([*rows, ("none", None), ("one", [{"x": 1.0, "y": 1.0}])], "line string, points array<struct<x:double,y:double>>")
+    want = _brute_overlaps(lines, 3.0, 2.0)
+    got = {(x.line, x.other): (x.share, x.overlap_m, x.bearing_diff) for x in spatial.covered(d, d.withColumnRenamed("line", "other"), "line", "other", 3.0, 2.0).where("line <> other").collect()}
+    assert got.keys() == want.keys() and len(want) > 60 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    near = {(x.line, x.other): x.shared_m for x in spatial.neighbours(d, 3.0, 2.0, 20.0).collect()}
+    assert near == {k: pytest.approx(v[1]) for k, v in want.items() if v[1] >= 20}
+    t = d.withColumnRenamed("line", "target")
+    match = {(x.target, x.line): (x.of, round(x.share, 6)) for x in spatial.match_lines(t, None, 3.0, 2.0, 0.4, 30.0, min_line=100.0).collect()}
+    assert match == {(x.target, x.line): (x.of, round(x.share, 6)) for x in spatial.match_lines(t, d, 3.0, 2.0, 0.4, 30.0, min_line=100.0).where("target <> line").collect()}
+    assert {k for k, (of, _) in match.items() if of == "target"} == {k for k, v in want.items() if v[0] >= 0.4 and v[2] <= 30} and {of for of, _ in match.values()} == {"target", "line"}
+
+
+def test_line_on_a_bound_matches(spark):
+    """1064 covers three of the five parts of 264: whether that is 0.6 hung on the order of the sum."""
+    lines = {264: [(14400.0 + 40 * n, q) for n, q in ((1, 10.0), (2, 3.0), (3, 17.0))]}
+    pts = [{"x": float(x), "y": y} for x, y in lines[264]]
+    d = spark.createDataFrame([(1, pts), (2, pts[:2])], "line int, points array<struct<x:double,y:double>>")
+    share = spatial.covered(d, d.withColumnRenamed("line", "other"), "line", "other", 5.0, 10.0).where("line = 1 and other = 2").first().share
+    m = spatial.match_lines(d.withColumnRenamed("line", "target"), None, 5.0, 10.0, min_share=share * (1 + 1e-12))
+    assert (1, 2) in {(x.target, x.line) for x in m.collect()}
+
+
+def test_lines_are_dealt_out_once(spark):
+    """Points and pairs of points stay in their tiles: only segments, and the sums of lines over several tiles, are shuffled."""
+    pts = [{"x": 40.0 * i, "y": 0.0} for i in range(5)]
+    d = spark.createDataFrame([(1, pts), (2, pts)], "line int, points array<struct<x:double,y:double>>")
+    for m in (spatial.match_lines(d.withColumnRenamed("line", "target"), None, 12.0, 20.0, min_line=20.0), spatial.neighbours(d, 12.0, 20.0, 40.0)):
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_spaced_peaks_of_a_dense_table(spark):
+    """3,000 points within a few spacings, with copies, equal heights and points without a place: as by hand, and no pairs of points."""
+    r = random.Random(12)
+    pts = [(i, r.randint(-40, 40) / 2, r.randint(-40, 40) / 2, float(r.randint(1, 300))) for i in range(3000)]
+    want = []
+    for p in sorted(pts, key=lambda p: (-p[3], p[0])):
+        if all((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 > 9 for q in want):
+            want.append(p)
+    bad = [(3000, None, 1.0, 999.0), (3001, float("nan"), 1.0, 999.0), (3002, 1.0, float("inf"), 999.0)]
+    d = spark.createDataFrame(pts + bad, "id long, x double, y double, h double")
+    assert sorted(tuple(g) for g in raster.spaced_peaks(d, "id", "h", 3.0).collect()) == sorted(want)
