@@ -394,8 +394,7 @@ def greedy_assignment(spark, sf):
 @query()
 def line_match(spark, sf):
     """All orders' lines against each other, by the target's share or the line's."""
-    l = _tracks(spark, sf)
-    return spatial.match_lines(l.withColumnRenamed("line", "target"), l, 12.0, 20.0, min_line=20.0).where("target <> line")
+    return spatial.match_lines(_tracks(spark, sf).withColumnRenamed("line", "target"), None, 12.0, 20.0, min_line=20.0)
 
 
 @query("""SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')""")
